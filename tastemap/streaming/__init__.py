@@ -1,0 +1 @@
+"""Place for streaming jobs. There is none yet; see the README."""
