@@ -48,7 +48,8 @@ ORACLE_SQL: dict[str, str] = {
             GROUP BY l_partkey
         ), ranked AS (
             SELECT item_id, users, qty,
-                   row_number() OVER (ORDER BY users DESC, item_id) AS rank
+                   CAST(row_number() OVER (ORDER BY users DESC, item_id)
+                        AS INTEGER) AS rank
             FROM popularity
         )
         SELECT item_id, users, qty, rank FROM ranked WHERE rank <= {TOP_K}
