@@ -18,9 +18,6 @@ SETTINGS = {
     # one key compress well, so the default of 256 MB lets 20 million through.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
-    # Almost every (user, item) is a new group, so the small map in front of the
-    # aggregation's hash table only misses: without it 10 to 20 % faster.
-    "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
