@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tastemap.llm.decontaminate import report
+from tastemap.llm.packing import pack
 from tastemap.llm.simple8b import token_files
 from tastemap.llm.tokens import public_path
 from tastemap.sources import table
@@ -16,8 +18,19 @@ def op2_simple8b(spark: SparkSession, directory: str) -> DataFrame:
     return token_files(documents, public_path("byte_bpe_50k.json"), end=0)
 
 
+def op5_packing(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    return pack(documents, public_path("word_bpe_49k.json"), end=0, size=2048)
+
+
+def op8_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
+    return report(table(spark, directory, "documents"), table(spark, directory, "benchmark"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simple8b": op2_simple8b,
+    "op5_packing": op5_packing,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}

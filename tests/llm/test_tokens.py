@@ -1,0 +1,209 @@
+"""op2 and op5 against the tokenizers library and plain Python."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings as trials
+from hypothesis import strategies as st
+from llm_helpers import DATA, clash, documents, sample_texts
+
+from tastemap.llm import packing, simple8b
+from tastemap.llm.tokens import Encoder, public_path
+
+BYTES, WORDS = public_path("byte_bpe_50k.json"), public_path("word_bpe_49k.json")
+ODD = [
+    "", " ", "  ", "a  b", " a", "a ", "don't 've x", "a\n b", "a\tb c", "\x01 \x01 a", "1 2 345",
+    "<|endoftext|> x <|endoftext|>", "é é ́ x", "Σ ΑΣ ΣΑ", "\x1c a", "a \n", "x y\x85 z",
+    "a 's b's", "　 x", "a‍b", "a \n\nb", "a   b", "İ I", "ﬁ x", "ß ẞ ÀÉ×÷ a_b __ x1y2z3 a\nb a\n",
+    "@@ #$% & ( ) x.\nY.\nZ", '12.5% (a) "b" c\r\nd e\n\nf \n g', "µ ª º ÿ Ÿ", "日本 語 😀 👩‍👩‍👧 é!",
+]
+
+
+def brute(path, text):
+    from tokenizers import Tokenizer
+
+    tokenizer = brute.cache.setdefault(path, Tokenizer.from_file(path))
+    tokenizer.encode_special_tokens = True
+    return tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+brute.cache = {}
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_equals_library(path):
+    encoder = Encoder(path, limit=50)
+    for text in ODD + [t or "" for t in sample_texts()] + ODD:
+        assert encoder.encode(text) == np.array(brute(path, text), "<u4").tobytes(), text
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@trials(max_examples=200, deadline=None)
+@given(text=st.text(alphabet=st.sampled_from(" \n\tab'sÉé1²_.!x́日\x1c\x85<|>"), max_size=30))
+def test_encoder_any_text(path, text):
+    assert Encoder.encode(_encoder(path), text) == np.array(brute(path, text), "<u4").tobytes()
+
+
+def _encoder(path, found={}):
+    return found.setdefault(path, Encoder(path))
+
+
+@trials(max_examples=150, deadline=None)
+@given(
+    st.lists(
+        st.one_of(
+            st.integers(0, 3), st.integers(0, 70_000), st.integers(0, 2**64 - 1),
+            st.sampled_from([2**60 - 1, 2**60 - 2, 2**60, 2**53, 2**53 - 1, 2**59]),
+        ),
+        max_size=400,
+    ),
+    st.integers(0, 2500),
+)
+def test_simple8b_round_trip(ids, zeros):
+    ids = np.array(ids + [0] * zeros + ids, np.uint64)
+    words, offsets, escapes = simple8b.encode(ids)
+    assert np.array_equal(simple8b.decode(words, escapes), ids)
+    assert len(offsets) == -(-len(ids) // simple8b.FRAME)
+    for k, start in enumerate(offsets):  # each frame on its own
+        end = offsets[k + 1] if k + 1 < len(offsets) else len(words)
+        part = ids[k * simple8b.FRAME : (k + 1) * simple8b.FRAME]
+        own = ids[: k * simple8b.FRAME]
+        skip = int((own >= 2**60 - 1).sum())
+        mine = escapes[skip : skip + int((part >= 2**60 - 1).sum())]
+        assert np.array_equal(simple8b.decode(words[start:end], mine), part)
+
+
+def test_small_ids_share_words():
+    words, _, _ = simple8b.encode(np.ones(960, np.uint64))
+    assert len(words) == 16
+
+
+def expected_files(rows):
+    start, out = 0, []
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = brute(BYTES, text) + [0]
+        out.append((doc, start, len(ids), crc(ids)))
+        start += len(ids)
+    return out
+
+
+def as_rows(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+FILES = ("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def test_token_files(spark, monkeypatch):
+    monkeypatch.setattr(simple8b, "BLOCK", 100)
+    rows = list(enumerate(sample_texts() + ODD))
+    rows = [(3 * i - 7, t) for i, t in rows]
+    df = clash(documents(spark, rows[::-1]).repartition(3))
+    got = simple8b.token_files(df, BYTES, 0)
+    assert as_rows(got, *FILES) == sorted(expected_files(rows), key=str)
+
+
+def test_token_files_repeated_rows_and_null_ids(spark):
+    rows = [(None, "a b"), (5, "x y z"), (5, "x y z"), (5, "x y z"), (2, None)]
+    got = simple8b.token_files(documents(spark, rows), BYTES, 0)
+    assert as_rows(got, *FILES) == sorted(expected_files(rows), key=str)
+
+
+def test_token_files_without_rows(spark):
+    assert simple8b.token_files(documents(spark, []), BYTES, 0).collect() == []
+
+
+def test_token_files_query(spark):
+    from tastemap.llm import QUERIES
+
+    got = QUERIES["op2_simple8b"](spark, f"{DATA}/sf0.001")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()]
+    assert as_rows(got, *FILES) == sorted(expected_files(rows), key=str)
+
+
+def check_packing(got, rows, size):
+    expected = []
+    for doc, text in rows:
+        ids = brute(WORDS, text) + [0]
+        for k, start in enumerate(range(0, len(ids), size)):
+            part = ids[start : start + size]
+            expected.append((doc, k, start, len(part), crc(part)))
+    found = got.collect()
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert sorted((tuple(r[c] for c in columns) for r in found), key=str) == sorted(expected, key=str)
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for held in sequences.values():
+        end = 0
+        for offset, length in sorted(held):
+            assert offset == end
+            end += length
+        assert end <= size
+    return len(sequences), [n for *_, n, _ in expected]
+
+
+def best_fit_decreasing(lengths, size):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else size) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("shard", [2000, 20])
+def test_packing(spark, monkeypatch, shard):
+    monkeypatch.setattr(packing, "SHARD", shard)
+    rows = list(enumerate(sample_texts(120)))
+    rows += [(3, "a b"), (3, "a b"), (None, "x")]
+    size = 128
+    got = packing.pack(clash(documents(spark, rows).repartition(3)), WORDS, 0, size)
+    n, lengths = check_packing(got, rows, size)
+    assert n <= 1.08 * best_fit_decreasing(lengths, size) + 1
+
+
+def test_lengths_that_never_fit(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 16)
+    rows = [(i, "a " * 64) for i in range(300)]
+    got = packing.pack(documents(spark, rows), WORDS, 0, 100)
+    assert check_packing(got, rows, 100)[0] == 300
+
+
+def test_packing_without_rows(spark):
+    assert packing.pack(documents(spark, []), WORDS, 0).collect() == []
+
+
+def test_placing_minimises_squares():
+    rng = np.random.default_rng(3)
+    size, lengths = 30, rng.integers(1, 30, 80)
+    gaps = []
+    bins, offsets, fill = packing.place(lengths, size)
+    for i, n in enumerate(lengths.tolist()):
+        def squares(gs):
+            return sum(c * c for c in np.unique([g for g in gs if g], return_counts=True)[1].tolist())
+        choices = [squares(gaps[:k] + [gaps[k] - n] + gaps[k + 1 :]) for k, g in enumerate(gaps) if g >= n]
+        choices.append(squares(gaps + [size - n]))
+        b = int(bins[i])
+        if b == len(gaps):
+            gaps.append(size)
+        assert offsets[i] == size - gaps[b]
+        gaps[b] -= n
+        assert squares(gaps) == min(choices)
+    assert (size - np.array(gaps) == fill).all()
+
+
+def test_packing_query(spark):
+    from tastemap.llm import QUERIES
+
+    got = QUERIES["op5_packing"](spark, f"{DATA}/sf0.001")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()]
+    n, lengths = check_packing(got, rows, 2048)
+    assert n <= 1.02 * best_fit_decreasing(lengths, 2048) + 1
