@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tastemap.llm import balltree, nbsvm
+from tastemap.llm.common import crc_fold
 from tastemap.llm.decontaminate import report
 from tastemap.llm.packing import pack
 from tastemap.llm.simple8b import token_files
@@ -27,10 +30,57 @@ def op8_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
     return report(table(spark, directory, "documents"), table(spark, directory, "benchmark"), 10)
 
 
+#: Score from which a document counts as good.
+GOOD = 0.7
+
+
+def quality(spark: SparkSession, documents: DataFrame, directory: str) -> DataFrame:
+    """``documents`` with their score, by a model that saw no held-out label."""
+    labels = table(spark, directory, "labels")
+    held_out = crc_fold("doc_id", 4) == 2
+    model = nbsvm.train(nbsvm.labelled_texts(documents, labels, held_out))
+    return nbsvm.score(documents, model)
+
+
+def op9_quality(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents").select("doc_id", "text")
+    return quality(spark, documents, directory).select(
+        "doc_id",
+        (crc_fold("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
+def op10_balltree(spark: SparkSession, directory: str) -> DataFrame:
+    vectors = balltree.quantised(table(spark, directory, "embeddings"), "vec_id", "embedding", 256)
+    found = balltree.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simple8b": op2_simple8b,
     "op5_packing": op5_packing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
+    "op10_balltree": op10_balltree,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_balltree": """
+        WITH vectors AS (
+            SELECT vec_id,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), ranked AS (
+            SELECT q.vec_id AS query_id, r.vec_id,
+                   CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score,
+                   CAST(row_number() OVER (PARTITION BY q.vec_id
+                        ORDER BY list_dot_product(q.v, r.v) DESC, r.vec_id) AS INTEGER) AS rank
+            FROM vectors q JOIN vectors r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}
