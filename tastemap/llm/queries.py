@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemap.llm import balltree, nbsvm
+from tastemap.llm.boilerplate import PAGES_SQL, drop_boilerplate, page_lines
 from tastemap.llm.common import crc_fold
 from tastemap.llm.decontaminate import report
 from tastemap.llm.packing import pack
@@ -26,6 +27,11 @@ def op5_packing(spark: SparkSession, directory: str) -> DataFrame:
     return pack(documents, public_path("word_bpe_49k.json"), end=0, size=2048)
 
 
+def op7_boilerplate(spark: SparkSession, directory: str) -> DataFrame:
+    lines = page_lines(table(spark, directory, "pages"))
+    return drop_boilerplate(lines, text="text", host="host")
+
+
 def op8_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
     return report(table(spark, directory, "documents"), table(spark, directory, "benchmark"), 10)
 
@@ -61,12 +67,14 @@ def op10_balltree(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simple8b": op2_simple8b,
     "op5_packing": op5_packing,
+    "op7_boilerplate": op7_boilerplate,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_balltree": op10_balltree,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_boilerplate": PAGES_SQL,
     "op10_balltree": """
         WITH vectors AS (
             SELECT vec_id,
