@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemap.llm import balltree, nbsvm
+from tastemap.llm import balltree, licenses, nbsvm, segments
 from tastemap.llm.boilerplate import PAGES_SQL, drop_boilerplate, page_lines
 from tastemap.llm.common import crc_fold
 from tastemap.llm.decontaminate import report
@@ -22,11 +22,20 @@ def op2_simple8b(spark: SparkSession, directory: str) -> DataFrame:
     return token_files(documents, public_path("byte_bpe_50k.json"), end=0)
 
 
+def op4_edit_counts(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    return segments.counts(documents, public_path("byte_bpe_50k.json"))
+
+
 def op5_packing(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
     return pack(documents, public_path("word_bpe_49k.json"), end=0, size=2048)
 
 
+def op6_licenses(spark: SparkSession, directory: str) -> DataFrame:
+    return licenses.scan(table(spark, directory, "documents"))
+
+
 def op7_boilerplate(spark: SparkSession, directory: str) -> DataFrame:
     lines = page_lines(table(spark, directory, "pages"))
     return drop_boilerplate(lines, text="text", host="host")
@@ -66,7 +75,9 @@ def op10_balltree(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simple8b": op2_simple8b,
+    "op4_edit_counts": op4_edit_counts,
     "op5_packing": op5_packing,
+    "op6_licenses": op6_licenses,
     "op7_boilerplate": op7_boilerplate,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
