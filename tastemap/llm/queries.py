@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemap.llm import balltree, licenses, nbsvm, segments
+from tastemap.llm import balltree, jaccard, licenses, nbsvm, segments
 from tastemap.llm.boilerplate import PAGES_SQL, drop_boilerplate, page_lines
 from tastemap.llm.common import crc_fold
 from tastemap.llm.decontaminate import report
@@ -22,6 +22,10 @@ def op2_simple8b(spark: SparkSession, directory: str) -> DataFrame:
     return token_files(documents, public_path("byte_bpe_50k.json"), end=0)
 
 
+def op3_jaccard(spark: SparkSession, directory: str) -> DataFrame:
+    return jaccard.join(table(spark, directory, "documents"), size=5, percent=75)
+
+
 def op4_edit_counts(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
     return segments.counts(documents, public_path("byte_bpe_50k.json"))
@@ -75,6 +79,7 @@ def op10_balltree(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simple8b": op2_simple8b,
+    "op3_jaccard": op3_jaccard,
     "op4_edit_counts": op4_edit_counts,
     "op5_packing": op5_packing,
     "op6_licenses": op6_licenses,
