@@ -19,43 +19,57 @@ from array import array
 
 import numpy as np
 
-_UNSAFE = re.compile(r"\s |^ ")
+_UNSAFE = re.compile(r"\s ")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = r"!-&(-/:-@\[-`{-~"
 #: No apostrophe (contractions), and at most single line feeds between parts.
 _PLAIN = re.compile(rf"[{_LETTER}{_MARK}0-9]+(?:\n[{_LETTER}{_MARK}0-9]+)*")
 
 
-class _Pieces(dict):
-    """ids of each piece that followed a blank."""
+class _Recent(dict):
+    """What ``make`` returns for each key; of two generations the older goes.
 
-    def __init__(self, encoder: Encoder, lead: str):
+    At most twice ``limit`` keys are held, and those in use stay.
+    """
+
+    def __init__(self, make, limit: int, older: dict | None = None):
         super().__init__()
-        self.encoder, self.lead = encoder, lead
+        self.make, self.limit, self.older = make, limit, older or {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.encoder.piece(piece, self.lead)
+    def __missing__(self, key: str) -> bytes:
+        if (ids := self.older.get(key)) is None:
+            ids = self.make(key)
+        self[key] = ids
         return ids
 
+    def renewed(self) -> _Recent:
+        """This, or a new generation if this one is full."""
+        if len(self) < self.limit:
+            return self
+        self.older = {}
+        return _Recent(self.make, self.limit, self)
+
 
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes.
 
     ``path``: a file of the tokenizers library. Strings of special tokens are
-    ordinary text. ``limit`` bounds the cached pieces.
+    ordinary text. ``limit`` bounds the caches; see ``_Recent``.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.limit = limit
-        self.parts: dict[str, bytes] = {}
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # it would repeat the caches below
+        self.parts = _Recent(self._part, limit // 2)
         #: Whether a blank belongs to the part after it.
         self.blank = self._ids([" a"])[0] != self._ids(["a"])[0]
-        self.pieces = _Pieces(self, " " if self.blank else "")
+        lead = " " if self.blank else ""
+        self.pieces = _Recent(lambda piece: self.piece(piece, lead), limit)
         digits = "[0-9]+" if self.blank else "[0-9]"
         lines = r"|\n" if self.blank else ""
         self.split = re.compile(rf"[{_LETTER}]+|{digits}|[{_MARK}]+{lines}").findall
@@ -71,27 +85,23 @@ class Encoder:
         return np.array(self._ids([text])[0], "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            text = part if self.blank else part.lower()
-            tokens = self.model.tokenize(text.translate(self.bytes))
-            ids = self.parts[part] = array("I", [t.id for t in tokens]).tobytes()
-        return ids
+        text = part if self.blank else part.lower()
+        tokens = self.model.tokenize(text.translate(self.bytes))
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def piece(self, piece: str, lead: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
             return self._whole(lead + piece)
         first, *rest = self.split(piece)
-        return self._part(lead + first) + b"".join(map(self._part, rest))
+        return b"".join(map(self.parts.__getitem__, (lead + first, *rest)))
 
     def encode(self, text: str) -> bytes:
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        if len(self.parts) > self.limit // 2:
-            self.parts.clear()
+        self.pieces, self.parts = self.pieces.renewed(), self.parts.renewed()
         if not text or _UNSAFE.search(text):
             return self._whole(text)
         head, *rest = text.split(" ")
+        if not head:  # a run cut from a text, or a text that starts with a blank
+            return b"".join(map(self.pieces.__getitem__, rest))
         return self.piece(head, "") + b"".join(map(self.pieces.__getitem__, rest))
 
 
