@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemap.llm import balltree, jaccard, licenses, nbsvm, segments
+from tastemap.llm import balltree, jaccard, katz, licenses, nbsvm, segments
 from tastemap.llm.boilerplate import PAGES_SQL, drop_boilerplate, page_lines
 from tastemap.llm.common import crc_fold
 from tastemap.llm.decontaminate import report
@@ -17,6 +17,10 @@ from tastemap.llm.tokens import public_path
 from tastemap.sources import table
 
 
+def op1_katz(spark: SparkSession, directory: str) -> DataFrame:
+    return katz.score(table(spark, directory, "documents"), crc_fold("doc_id", 10) == 0)
+
+
 def op2_simple8b(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
     return token_files(documents, public_path("byte_bpe_50k.json"), end=0)
@@ -78,6 +82,7 @@ def op10_balltree(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz": op1_katz,
     "op2_simple8b": op2_simple8b,
     "op3_jaccard": op3_jaccard,
     "op4_edit_counts": op4_edit_counts,
