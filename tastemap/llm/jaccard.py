@@ -101,7 +101,8 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def digests(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, vertex of each row; null and empty texts have no shingle."""
+    """doc_id, n_shingles, vertex and text_hash of each row; null and empty texts have
+    no shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 1000):
@@ -111,11 +112,14 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([vertex(s) for s in sets], pa.int64()),
+                    batch.column("text_hash"),
                 ],
-                ["doc_id", "n_shingles", "vertex"],
+                ["doc_id", "n_shingles", "vertex", "text_hash"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, vertex bigint")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        run, "doc_id bigint, n_shingles bigint, vertex bigint, text_hash bigint"
+    )
 
 
 def sample(docs: DataFrame, size: int, percent: int) -> tuple[Order, int]:
@@ -276,6 +280,13 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     Rows without a doc_id take part, and have the smallest id of the others, or null.
     Repeated rows stay; other columns are ignored.
     """
+    component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return classes(docs, size, percent).select("doc_id", "n_shingles", component_id.alias("component_id"))
+
+
+def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, text_hash, root and component_id of each row; rows without
+    shingles share a root, which says nothing about them."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     digest = keep(digests(docs, size), "digests")
     order, boundary = sample(docs, size, percent)
@@ -312,19 +323,14 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
         now = keep(now.join(several.where("x <> y").select("key"), "key", "left_semi"), "members")
     smallest = digest.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
     if links is not None:
-        smallest = smallest.join(labels, "vertex", "left")
-        root = F.coalesce("component", "vertex")
-        groups = smallest.groupBy(root.alias("root")).agg(F.min("doc_id").alias("component_id"))
-        found = smallest.select("vertex", root.alias("root")).join(groups, "root").select("vertex", "component_id")
+        smallest = smallest.join(labels, "vertex", "left").withColumn("root", F.coalesce("component", "vertex"))
+        groups = smallest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        found = smallest.select("vertex", "root").join(groups, "root").select("vertex", "root", "component_id")
     else:
-        found = smallest.select("vertex", F.col("doc_id").alias("component_id"))
+        found = smallest.select("vertex", F.col("vertex").alias("root"), F.col("doc_id").alias("component_id"))
     found = keep(found, "components")
     discard(docs.sparkSession, path)
-    return digest.join(found, "vertex").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return digest.join(found, "vertex").select("doc_id", "n_shingles", "text_hash", "root", "component_id")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -345,9 +351,15 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 def representatives(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id.
 
-    Rows without words stay. Of repeated rows with that doc_id one stays.
+    Of rows with that id the one with the smallest text hash stays; a row without id
+    stays if the component has no other. Rows without words stay. Repeated rows with
+    equal id and text are one.
     """
-    found = keep(join(docs, size, percent), "classes")
-    stay = found.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0))
-    chosen = keep(stay.select("doc_id").distinct(), "stay")
-    return docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = keep(classes(docs, size, percent), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    chosen = found.where("n_shingles > 0").groupBy("root").agg(first).select("first.doc_id", "first.text_hash")
+    wordless = found.where("n_shingles = 0").select("doc_id", "text_hash")
+    chosen = keep(chosen.unionByName(wordless).distinct(), "stay").alias("c")
+    rows = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._text_hash") == F.col("c.text_hash"))
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
