@@ -16,8 +16,17 @@ def interactions(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     Shuffles: both tables on the order key, unless they are bucketed on it or
     the orders are small enough for Spark to broadcast; then the joined lines
     on (user, item), combined per task beforehand. A hot user spreads over its
-    items, a hot item over its users, a hot pair is one row per task. A hot
-    order is split by the adaptive skew join.
+    items, a hot item over its users, a hot pair is one row per task.
+
+    A hot order is split by the adaptive skew join, but only where there is a
+    shuffle, and no finer than the tasks that wrote it:
+
+    * Tables bucketed on the order key join without one, so a hot order is one
+      task. ``spark.sql.sources.bucketing.enabled=false`` restores the shuffle.
+    * Rows that one map task wrote stay together. A map task reads at least a row
+      group, so the order of a file of one row group is not split. Row groups and
+      scan splits (``spark.sql.files.maxPartitionBytes``) have to be small beside
+      the hot order; a larger row group is bounded by its own size.
     """
     bought = orders.where(F.col("o_custkey").isNotNull()).select(
         F.col("o_orderkey").alias("order_id"),

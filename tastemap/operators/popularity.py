@@ -9,13 +9,20 @@ from tastemap.functions import top_k
 
 
 def item_popularity(pairs: DataFrame) -> DataFrame:
-    """``users`` and ``qty`` per item, from one row per user and item.
+    """``users`` (distinct) and ``qty`` per item, from rows of a user and an item.
 
-    The pairs are already distinct, so counting users is counting rows: every
-    task combines its pairs to one row per item before the shuffle, and a hot
-    item costs the receiving task one row per sending task.
+    Rows without a user or an item are left out; the quantities of repeated pairs
+    are summed. The result of ``interactions`` is dealt out by user and item already,
+    so its pairs are grouped where they are. Every task then combines its pairs to
+    one row per item before the shuffle, and a hot item costs the receiving task one
+    row per sending task.
     """
-    return pairs.groupBy("item_id").agg(
+    users = (
+        pairs.where(F.col("user_id").isNotNull() & F.col("item_id").isNotNull())
+        .groupBy("user_id", "item_id")
+        .agg(F.sum("qty").alias("qty"))
+    )
+    return users.groupBy("item_id").agg(
         F.count("*").alias("users"),
         F.sum("qty").alias("qty"),
     )

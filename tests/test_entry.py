@@ -1,11 +1,14 @@
 """Every registered query against its SQL on the driver's tables."""
 
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tastemap.plans import ORACLE_SQL, QUERIES
 
 DATA = Path("/root/testdata")
 TABLES = (
@@ -39,7 +42,7 @@ def rows(table):
     return sorted(zip(*(column.to_pylist() for column in table.columns)))
 
 
-@pytest.mark.parametrize("name", contract.oracle_sql())
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_same_rows_as_sql(spark, directory, name):
     got = contract.queries()[name](spark, directory).toArrow()
     expected = by_sql(directory, contract.oracle_sql()[name])
@@ -48,7 +51,26 @@ def test_same_rows_as_sql(spark, directory, name):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_contract_without_the_optional_parts():
+    """As if the subpackage and the pipeline had been deleted."""
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name in ("tastemap.llm", "corpus_pipeline"):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as contract
+from tastemap.plans import QUERIES
+assert set(contract.queries()) == set(contract.oracle_sql()) == set(QUERIES)
+"""
+    root = Path(contract.__file__).parent
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
 
 
 def test_entry(spark):

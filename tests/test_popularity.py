@@ -43,6 +43,24 @@ def test_no_pairs(spark):
     assert check(spark, {}, 3) == []
 
 
+def test_repeated_pairs_are_one_user(spark):
+    rows = [(1, 5, 1.0), (1, 5, 2.0), (1, 5, None), (2, 6, 1.0), (3, 6, 1.0)]
+    got = as_top(popular_items(spark.createDataFrame(rows, PAIRS), 2))
+    assert got == [(6, 2, 2.0, 1), (5, 1, 3.0, 2)]
+
+
+def test_null_ids_are_no_user_and_no_item(spark):
+    rows = [(None, 5, 1.0), (None, 5, 1.0), (1, 6, 1.0), (2, None, 9.0), (None, None, 1.0)]
+    got = as_top(popular_items(spark.createDataFrame(rows, PAIRS), 5))
+    assert got == [(6, 1, 1.0, 1)]
+
+
+def test_null_quantities_keep_the_user(spark):
+    rows = [(1, 5, None), (2, 5, None), (3, 6, 1.0)]
+    got = as_top(popular_items(spark.createDataFrame(rows, PAIRS), 5))
+    assert got == [(5, 2, None, 1), (6, 1, 1.0, 2)]
+
+
 def test_k_has_to_be_positive(spark):
     with pytest.raises(ValueError):
         popular_items(frame(spark, make((1, 5, 1.0))), 0)
