@@ -1,0 +1,29 @@
+"""The measuring tools: rows per task, and copies of tables."""
+
+from pyspark.sql import functions as F
+
+import measure
+from tastemap.tasks import recorded
+
+
+def test_rows_of_each_task(spark, settings):
+    settings(spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="4")
+    df = spark.range(0, 1000, 1, 5).withColumn("k", F.when(F.col("id") < 400, 0).otherwise(F.col("id")))
+    stages = recorded(spark, lambda: df.repartition(4, "k").write.format("noop").mode("overwrite").save())
+    assert sorted(s.tasks for s in stages) == [4, 5]
+    assert 400 <= max(s.largest_shuffle for s in stages) < 800
+
+
+def test_copies_shift_keys(spark):
+    df = spark.createDataFrame([(0, "a"), (4, "b"), (None, "c")], "k long, v string")
+    got = sorted(((r.k, r.v) for r in measure.copies(df, 3, "k").collect()), key=str)
+    expected = [(i + 5 * c, v) for c in range(3) for i, v in ((0, "a"), (4, "b"))] + [(None, "c")] * 3
+    assert got == sorted(expected, key=str)
+
+
+def test_generated_tables(spark, tmp_path):
+    measure.generate(spark, "/root/testdata/sf0.001", tmp_path, 2)
+    even, skewed = (spark.read.parquet(str(tmp_path / k / "lineitem.parquet")) for k in ("even", "skewed"))
+    assert even.count() == skewed.count() == 12_000
+    assert 0.3 < skewed.where("l_orderkey = 0").count() / 12_000 < 0.4
+    assert 0.3 < skewed.where("l_partkey = 0").count() / 12_000 < 0.4
