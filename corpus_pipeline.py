@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemap.llm import boilerplate, decontaminate, jaccard, packing
-from tastemap.llm.common import keep
+from tastemap.llm.common import keep, set_aside
 from tastemap.llm.queries import GOOD, quality
 from tastemap.llm.tokens import public_path
 from tastemap.sources import table
@@ -18,15 +18,18 @@ from tastemap.sources import table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    scored = quality(spark, docs, sf_dir)
-    return scored.where(F.col("score") >= GOOD).select(*docs.columns)
+    renamed, names = set_aside(docs, "score")
+    good = quality(spark, renamed, sf_dir).where(F.col("score") >= GOOD).drop("score")
+    return good.withColumnsRenamed(names).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines that are boilerplate of their source."""
-    kept = boilerplate.drop_boilerplate(docs, text="text", host="source")
+    renamed, names = set_aside(docs, "n_lines", "n_dropped")
+    kept = boilerplate.drop_boilerplate(renamed, text="text", host="source")
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", n_chars.cast("bigint")).select(*docs.columns)
+    kept = kept.withColumn("n_chars", n_chars.cast("bigint")).drop("n_lines", "n_dropped")
+    return kept.withColumnsRenamed(names).select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

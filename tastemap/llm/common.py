@@ -54,6 +54,12 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names renamed, and the names to give them back."""
+    held = {n: f"{n} set aside" for n in names if n in df.columns}
+    return df.withColumnsRenamed(held), {new: old for old, new in held.items()}
+
+
 def blocks(rows: int, size: int) -> int:
     """Blocks of about ``size`` rows."""
     return max(1, math.ceil(rows / size))

@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemap.llm.common import WORDS, alnum_words, blocks, ngrams, pieces_of, utf8
+from tastemap.llm.common import WORDS, alnum_words, blocks, ngrams, pieces_of, set_aside, utf8
 
 K = 5
 #: Bytes of benchmark text in a slice, about; a longer single item makes its own.
 SLICE = 8_000_000
+#: Columns that a scan adds.
+OWN = ("n_words", "hits", "items")
 
 
 class Index:
@@ -156,8 +158,7 @@ def scan(docs: DataFrame, items: list[tuple[object, bytes]], window: int) -> Dat
     A null text has no words. Repeated rows stay; items with equal text all count.
     Of clashing names the result's own win. ``items``: one slice.
     """
-    own = ["n_words", "hits", "items"]
-    carried = [c for c in docs.columns if c not in own]
+    carried = [c for c in docs.columns if c not in OWN]
     sent = docs.sparkSession.sparkContext.broadcast(
         [(None if i is None else str(i), t) for i, t in items]
     )
@@ -200,10 +201,10 @@ def scan(docs: DataFrame, items: list[tuple[object, bytes]], window: int) -> Dat
                         pa.list_(pa.string()),
                     ),
                 ],
-                [*carried, *own],
+                [*carried, *OWN],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in own)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in OWN)
     return docs.select(*carried).mapInArrow(
         run,
         f"{schema}, n_words bigint, hits array<struct<start: bigint, end: bigint>>, "
@@ -272,8 +273,10 @@ def clean(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "item_id",
     limit: int = SLICE,
 ) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window."""
+    """``docs`` without the documents that hold a benchmark window; other rows and all
+    columns stay as they are."""
     columns = docs.columns
+    docs, names = set_aside(docs, *OWN)
     for items in slices(benchmark, id_column, "text", limit):
-        docs = scan(docs, items, window).where(F.size("hits") == 0).select(*columns)
-    return docs
+        docs = scan(docs, items, window).where(F.size("hits") == 0).drop(*OWN)
+    return docs.withColumnsRenamed(names).select(*columns)

@@ -72,3 +72,18 @@ def test_query(spark):
     got = QUERIES["op10_balltree"](spark, f"{DATA}/sf0.001").collect()
     rows = [(r.vec_id, list(r.embedding)) for r in table]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows, 5, 50)
+
+
+def test_sql(spark):
+    import duckdb
+
+    from tastemap.llm import ORACLE_SQL
+
+    path = f"{DATA}/sf0.01/embeddings.parquet"
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS FROM '{path}'")
+        found = c.sql(ORACLE_SQL["op10_balltree"])
+        assert [str(t) for t in found.types] == ["BIGINT", "INTEGER", "BIGINT", "BIGINT"]
+        rows = sorted(found.fetchall())
+    table = spark.read.parquet(path).collect()
+    assert rows == brute([(r.vec_id, list(r.embedding)) for r in table], 5, 50)

@@ -1,7 +1,8 @@
 """The pipeline against brute-force versions of its stages, one after another."""
 
 import pytest
-from llm_helpers import DATA
+from llm_helpers import DATA, clash, documents
+from pyspark.sql import functions as F
 from test_boilerplate import brute as brute_lines
 from test_decontaminate import brute as brute_hits
 from test_jaccard import brute as brute_classes
@@ -51,6 +52,17 @@ def test_run(spark):
     assert got.count() > 0
 
 
+def test_stages_keep_columns_of_any_name_and_nulls(spark):
+    rows = [(1, "a plain text of a few words here"), (2, None), (3, ""), (None, "one without an id at all")]
+    docs = clash(documents(spark, rows)).withColumns({"n_lines": F.lit("mine"), "n_dropped": F.lit("mine")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"{DATA}/sf0.001")
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        for r in out.collect():
+            assert (r.doc_id, r.text) in rows and r.score == r.hits == "clash" and r.n_lines == "mine"
+    assert {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()} == {1, 2, 3, None}
+
+
 def test_no_documents(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
