@@ -116,100 +116,112 @@ def apply(text: str, tree: SegmentTree, edits, encode: Encoder) -> tuple[str, in
     return text, again
 
 
+KIND_TREE = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
+KIND_EDITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+#: Columns that ``edit`` adds.
+COUNTS = ("n_edits", "tokens_before", "tokens_after", "chars_encoded")
+#: Fixed patterns of what ``redactions`` masks: mail addresses, network addresses,
+#: long runs of digits (telephone, card), and keys of 20 and more hexadecimal digits.
+PRIVATE = re.compile(
+    r"[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[0-9a-f]{20,}\b|\+?\(?\d[\d() -]{7,}\d"
+)
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    """The batch with columns added or replaced."""
+    names = [c for c in batch.schema.names if c not in columns]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns.values()], [*names, *columns])
+
+
+def _built(batches: Batches, tokenizer: str) -> Batches:
+    encode = encoder(tokenizer)
+    for batch in pieces_of(batches, 500):
+        trees = []
+        for text in batch.column("text").to_pylist():
+            parts = leaves(text or "")
+            trees.append({"chars": [len(p) for p in parts], "tokens": [count(encode, p) for p in parts]})
+        yield _with(batch, tree=pa.array(trees, KIND_TREE))
+
+
+def _redacted(batches: Batches, mask: str) -> Batches:
+    for batch in batches:
+        edits = [
+            [{"start": m.start(), "end": m.end(), "text": mask} for m in PRIVATE.finditer(t or "")][::-1]
+            for t in batch.column("text").to_pylist()
+        ]
+        yield _with(batch, edits=pa.array(edits, KIND_EDITS))
+
+
+def _edited(batches: Batches, tokenizer: str) -> Batches:
+    encode = encoder(tokenizer)
+    for batch in pieces_of(batches, 500):
+        texts, trees, counts = [], [], []
+        for text, tree, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "tree", "edits"))):
+            used = SegmentTree(tree["chars"], tree["tokens"])
+            before, again = used.total[1], 0
+            if edits:
+                steps = [(e["start"], e["end"], e["text"] or "") for e in edits]
+                text, again = apply(text or "", used, steps, encode)
+                live = used.sums[used.n : used.n + len(tree["chars"])]
+                live = [x for x in live if x[0]] or [(0, 0)]
+                tree = {"chars": [a for a, _ in live], "tokens": [b for _, b in live]}
+            texts.append(text)
+            trees.append(tree)
+            counts.append((len(edits or ()), before, used.total[1], again))
+        columns = zip(*counts) if counts else [[]] * 4
+        yield _with(
+            batch,
+            text=pa.array(texts, pa.string()),
+            tree=pa.array(trees, KIND_TREE),
+            **{name: pa.array(c, pa.int64()) for name, c in zip(COUNTS, columns)},
+        )
+
+
+def _schema(docs: DataFrame, *added: tuple[str, str]) -> str:
+    new = dict(added)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in new]
+    return ", ".join([*kept, *(f"{name} {kind}" for name, kind in added)])
+
+
 def build(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``docs`` and ``tree``: characters and tokens of each leaf. Null texts are empty."""
-    carried = [c for c in docs.columns if c != "tree"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        kind = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
-        for batch in pieces_of(batches, 500):
-            trees = []
-            for text in batch.column("text").to_pylist():
-                parts = leaves(text or "")
-                trees.append({"chars": [len(p) for p in parts], "tokens": [count(encode, p) for p in parts]})
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), pa.array(trees, kind)], [*carried, "tree"]
-            )
+    return docs.mapInArrow(lambda batches: _built(batches, tokenizer), _schema(docs, ("tree", TREE)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "tree")
-    return docs.select(*carried).mapInArrow(run, f"{schema}, tree {TREE}")
+
+def redactions(docs: DataFrame, mask: str = "<PRIVATE>") -> DataFrame:
+    """``docs`` and ``edits`` that mask private data, last place first."""
+    return docs.mapInArrow(lambda batches: _redacted(batches, mask), _schema(docs, ("edits", EDITS)))
 
 
 def edit(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``docs`` (with ``tree`` and ``edits``) after the edits, with ``n_edits``,
     ``tokens_before``, ``tokens_after`` and ``chars_encoded``.
 
-    ``text`` and ``tree`` are the new ones; edits that are null are none, and so is
-    an edit without replacement text an erasure. Repeated rows stay.
+    ``text`` and ``tree`` are the new ones; edits that are null are none, and an edit
+    without replacement text is an erasure. Repeated rows stay.
     """
-    own = {"n_edits": "bigint", "tokens_before": "bigint", "tokens_after": "bigint", "chars_encoded": "bigint"}
-    carried = [c for c in docs.columns if c not in own and c not in ("text", "tree")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        kind = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
-        for batch in pieces_of(batches, 500):
-            texts, trees, counts = [], [], []
-            for text, tree, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "tree", "edits"))):
-                used = SegmentTree(tree["chars"], tree["tokens"])
-                before, again = used.total[1], 0
-                if edits:
-                    steps = [(e["start"], e["end"], e["text"] or "") for e in edits]
-                    text, again = apply(text or "", used, steps, encode)
-                    live = used.sums[used.n : used.n + len(tree["chars"])]
-                    live = [x for x in live if x[0]] or [(0, 0)]
-                    tree = {"chars": [a for a, _ in live], "tokens": [b for _, b in live]}
-                texts.append(text)
-                trees.append(tree)
-                counts.append((len(edits or ()), before, used.total[1], again))
-            columns = zip(*counts) if counts else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in carried),
-                    pa.array(texts, pa.string()),
-                    pa.array(trees, kind),
-                    *(pa.array(c, pa.int64()) for c in columns),
-                ],
-                [*carried, "text", "tree", *own],
-            )
+    added = [("text", "string"), ("tree", TREE), *((name, "bigint") for name in COUNTS)]
+    return docs.mapInArrow(lambda batches: _edited(batches, tokenizer), _schema(docs, *added))
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in carried]
-    schema += ["text string", f"tree {TREE}", *(f"{n} {t}" for n, t in own.items())]
-    return docs.select(*carried, "text", "tree").mapInArrow(run, ", ".join(schema))
 
+def counts(docs: DataFrame, tokenizer: str, mask: str = "<PRIVATE>") -> DataFrame:
+    """Per document of ``docs`` (doc_id, text): n_edits, tokens_before, tokens_after,
+    chars_encoded and n_leaves of masking its private data.
 
-#: Fixed patterns of what ``redactions`` masks: mail addresses, network addresses,
-#: long runs of digits (telephone, card), and keys of 20 and more hexadecimal digits.
-PRIVATE = re.compile(
-    r"[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[0-9a-f]{20,}\b|\+?\(?\d[\d() -]{7,}\d"
-)
-
+    The steps of ``build``, ``redactions`` and ``edit`` in one Python worker, which
+    so has one cache of pieces.
+    """
+    names = ["doc_id", *COUNTS, "n_leaves"]
 
-def redactions(docs: DataFrame, mask: str = "<PRIVATE>") -> DataFrame:
-    """``docs`` and ``edits`` that mask private data, last place first."""
-    carried = [c for c in docs.columns if c != "edits"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
-        for batch in batches:
-            edits = [
-                [{"start": m.start(), "end": m.end(), "text": mask} for m in PRIVATE.finditer(t or "")][::-1]
-                for t in batch.column("text").to_pylist()
-            ]
+    def run(batches: Batches) -> Batches:
+        for batch in _edited(_redacted(_built(batches, tokenizer), mask), tokenizer):
+            leaves = pa.array([len(t["chars"]) for t in batch.column("tree").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), pa.array(edits, kind)], [*carried, "edits"]
+                [*(batch.column(c) for c in names[:-1]), leaves], names
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "edits")
-    return docs.select(*carried).mapInArrow(run, f"{schema}, edits {EDITS}")
-
-
-def counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Per document of ``docs`` (doc_id, text): n_edits, tokens_before, tokens_after and
-    chars_encoded of masking its private data."""
-    edited = edit(redactions(build(docs.select("doc_id", "text"), tokenizer)), tokenizer)
-    return edited.select(
-        "doc_id", "n_edits", "tokens_before", "tokens_after", "chars_encoded",
-        F.size("tree.chars").cast("bigint").alias("n_leaves"),
-    )
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
+        run, ", ".join(f"{name} bigint" for name in names)
+    )
