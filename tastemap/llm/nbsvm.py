@@ -7,11 +7,12 @@ as they are, and repeats once. A shape n-gram has one indicator for each power o
 two that its share of the text reaches, so that a habit of the whole text is told
 from a single slip. Nothing else of the row is looked at.
 
-Class counts of the features come from all labelled training rows, in a
-distributed sum; their log-count ratio scales the indicators. The linear hinge-loss
-model on them is fitted by dual coordinate descent on a sample of at most about
-``SAMPLE`` training rows, drawn by a hash of id and text, of which every fifth only
-sets the sigmoid that turns margins into scores.
+The model is fitted on a sample of about ``SAMPLE`` labelled documents, drawn by a
+hash of the id. Their ids and labels are few enough to go to every task, so no text
+moves for their sake but their own. Class counts of the features give log-count
+ratios, which scale the indicators; the linear hinge-loss model on them is fitted by
+dual coordinate descent. Every fifth row of the sample only sets the sigmoid that
+turns margins into scores.
 """
 
 from __future__ import annotations
@@ -169,84 +170,37 @@ def fit_sample(
 def train(labelled: DataFrame) -> Model:
     """Fits on rows with ``doc_id``, ``text`` and ``label`` (0 or 1; others are left out).
 
-    The id has a part in the draw of the sample alone, so that copies of a text do
-    not all come or stay away.
-
-    Without rows every score is a half; with one class, that class's smoothed share.
+    ``labelled`` is a bounded sample, see ``labelled_sample``; its features meet in
+    one task. Without rows every score is a half; with one class, that class's
+    smoothed share.
     """
-    labelled = labelled.where("label IN (0, 1)").select(
-        "doc_id", "text", F.col("label").cast("int")
-    )
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SIZE), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 500):
-            picked, labels = [], []
-            for text, label, key in zip(
-                utf8(batch.column("text")), batch.column("label").to_pylist(), batch.column("key").to_pylist()
-            ):
-                places = features(text)
-                total[label, places] += 1
-                if key < fraction:
-                    picked.append(places.astype("<i4").tobytes())
-                    labels.append((label, key))
-            if picked:
-                n = len(picked)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.nulls(n, pa.int64()) for _ in range(3)),
-                        pa.array([x for x, _ in labels], pa.int32()),
-                        pa.array([x for _, x in labels], pa.float64()),
-                        pa.array(picked, pa.binary()),
-                    ],
-                    names,
-                )
-        at = np.flatnonzero(total.any(axis=0))
-        n = len(at)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(at.astype(np.int64)), pa.array(total[1, at]), pa.array(total[0, at]),
-                pa.nulls(n, pa.int32()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.binary()),
-            ],
-            names,
-        )
-
-    names = ["place", "positive", "negative", "label", "key", "features"]
-    # A number in [0, 1), so a row's luck does not depend on its place.
-    key = (F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)).alias("key")
-    n_rows = labelled.count()
-    fraction = min(1.0, SAMPLE / max(1, n_rows))
-    table = keep(
-        labelled.select("text", "label", key).mapInArrow(
-            counts,
-            "place bigint, positive bigint, negative bigint, label int, key double, features binary",
-        ),
-        "nbsvm",
-    )
-    # SIZE rows at most.
-    sums = (
-        table.where("place IS NOT NULL")
-        .groupBy("place")
-        .agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
-        .toArrow()
-    )
-    positive, negative = np.zeros(SIZE), np.zeros(SIZE)
-    places = sums["place"].to_numpy()
-    positive[places], negative[places] = sums["positive"].to_numpy(), sums["negative"].to_numpy()
-    ratio = log_count_ratio(positive, negative)
+            found = [features(text).astype("<i4").tobytes() for text in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())],
+                ["doc_id", "label", "features"],
+            )
 
     def fit(group: pa.Table) -> pa.Table:
-        order = sorted(
-            range(group.num_rows),
-            key=lambda i: (group["key"][i].as_py(), group["label"][i].as_py(), group["features"][i].as_py()),
+        # In an order that does not depend on the tasks that made the rows.
+        rows = sorted(
+            zip(*(group[c].to_pylist() for c in ("doc_id", "label", "features"))),
+            key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1], r[2]),
         )
-        rows = [np.frombuffer(group["features"][i].as_py(), "<i4") for i in order]
-        labels = np.array([2 * group["label"][i].as_py() - 1 for i in order])
-        weights, a, b = fit_sample(rows, labels, ratio)
+        places = [np.frombuffer(x, "<i4") for *_, x in rows]
+        labels = np.array([2 * label - 1 for _, label, _ in rows])
+        count = np.zeros((2, SIZE))
+        for x, label in zip(places, labels):
+            count[int(label > 0), x] += 1
+        weights, a, b = fit_sample(places, labels, log_count_ratio(count[1], count[0]))
         return pa.table({"weights": [weights.astype("<f4").tobytes()], "a": [a], "b": [b]})
 
     fitted = (
-        table.where("features IS NOT NULL")
+        labelled.where("label IN (0, 1)")
+        .select(F.col("doc_id").cast("bigint"), "text", F.col("label").cast("int"))
+        .mapInArrow(run, "doc_id bigint, label int, features binary")
         .groupBy()
         .applyInArrow(fit, "weights binary, a double, b double")
         .collect()
@@ -273,15 +227,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*carried).mapInArrow(run, f"{schema}, score double")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
-    """Texts and quality labels of the documents that are not held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, held_out, bound: int = SAMPLE) -> DataFrame:
+    """doc_id, text, label of about ``bound`` labelled documents that are not held out.
 
-    Contradicting labels of one document both count; documents without a label and
-    labels without a document do not.
+    ``held_out``: a condition on ``doc_id`` of ``labels``. Of several labels of one
+    document the more frequent counts, of equally frequent ones none; of several
+    rows with one id the smallest text. Labels without a document, and labels other
+    than 0 and 1, do not count.
     """
+    votes = (
+        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out)
+        .groupBy("doc_id")
+        .agg(F.sum(2 * F.col("quality") - 1).alias("vote"))
+        .where("vote <> 0")
+        .select("doc_id", (F.col("vote") > 0).cast("int").alias("label"))
+    )
+    votes = keep(votes, "votes")
+    share = min(1.0, bound / max(1, votes.count()))
+    drawn = votes.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < share * (1 << 30))
+    # Bounded by the parameter, whatever the sizes of the tables.
     return (
-        docs.where(~held_out)
-        .select("doc_id", "text")
-        .join(labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").alias("label")), "doc_id")
-        .select("doc_id", "text", "label")
+        docs.select("doc_id", "text")
+        .join(F.broadcast(drawn), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     )

@@ -61,7 +61,7 @@ def quality(spark: SparkSession, documents: DataFrame, directory: str) -> DataFr
     """``documents`` with their score, by a model that saw no held-out label."""
     labels = table(spark, directory, "labels")
     held_out = crc_fold("doc_id", 4) == 2
-    model = nbsvm.train(nbsvm.labelled_texts(documents, labels, held_out))
+    model = nbsvm.train(nbsvm.labelled_sample(documents, labels, held_out))
     return nbsvm.score(documents, model)
 
 

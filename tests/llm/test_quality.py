@@ -79,3 +79,19 @@ def test_held_out_accuracy(spark):
         mine = [r for r in rows if r.held_out and labels.get(r.doc_id) == kind]
         right = sum(r.predicted == kind for r in mine)
         assert right >= 0.97 * len(mine), (kind, right, len(mine))
+
+
+def test_labelled_sample(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, [(i, f"t{i}") for i in range(2000)] + [(5, "other"), (5, "t5"), (None, "x")])
+    rows = [(i, i % 2, 0) for i in range(1000)] + [(7, 0, 0), (8, 1, 0), (9, 1, 0), (9, 1, 0), (10, None, 0), (5000, 1, 0), (None, 1, 0), (11, 7, 0)]
+    labels = spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+    held_out = F.col("doc_id") % 10 == 3
+    got = {r.doc_id: (r.text, r.label) for r in nbsvm.labelled_sample(docs, labels, held_out, 10**6).collect()}
+    expected = {i: (f"t{i}", i % 2) for i in range(1000) if i % 10 != 3}
+    expected[5] = ("other", 1)
+    del expected[7], expected[8]  # one label each way
+    assert got == expected
+    some = nbsvm.labelled_sample(docs, labels, held_out, 200).count()
+    assert 120 < some < 280
