@@ -20,9 +20,15 @@ expected meetings in the lists together, as measured on the sample.
 
 Lists of one set go. In the others, sets are compared in rounds: one set of each
 list with all that are not in its component yet, then the components are found
-anew. When that stops paying, all pairs of different components that meet in a list
-and pass the size and position bounds are compared. No pair within a component
-needs a comparison, so large groups of near copies cost about one each.
+anew. When few pairs are left or that stops paying, all pairs of different components
+that meet in a list and pass the size and position bounds are compared. No pair
+within a component needs a comparison, so large groups of near copies cost about
+one each.
+
+A comparison first takes the sets' sketches, of two bits for each shingle: a bit is
+the parity of the shingles in its bucket, so each bit that differs stands for one
+shingle that is not in common, and the bound on the overlap is exact. Whole sets are
+fetched for the pairs that pass.
 """
 
 from __future__ import annotations
@@ -46,6 +52,8 @@ PERCENT = 75
 SAMPLED = 8
 #: Shingles that are ordered by their frequency in the sample, at most.
 FREQUENT = 200_000
+#: Pairs for each list entry that are few enough to be compared at once.
+FEW = 3
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -59,6 +67,21 @@ def vertex(found: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(found.tobytes()))))
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of the shingles in buckets, twice as many as shingles or more."""
+    size = 1 << max(6, int(2 * len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_common(x: bytes, y: bytes, n: int, m: int) -> int:
+    """A bound on the shingles in common of sets of ``n`` and ``m`` with these sketches."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return (n + m - int(np.bitwise_count(a ^ b).sum())) // 2
+
+
 def prefix(n: int, percent: int) -> int:
     """Of sets of ``n``, the first so many hold a common one of any linked set."""
     return n - -(-percent * n // 100) + 1
@@ -101,8 +124,8 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def digests(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, vertex and text_hash of each row; null and empty texts have
-    no shingle."""
+    """doc_id, n_shingles, vertex, text_hash and sketch of each row; null and empty
+    texts have no shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 1000):
@@ -113,12 +136,13 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([vertex(s) for s in sets], pa.int64()),
                     batch.column("text_hash"),
+                    pa.array([sketch(s) for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "vertex", "text_hash"],
+                ["doc_id", "n_shingles", "vertex", "text_hash", "sketch"],
             )
 
     return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, vertex bigint, text_hash bigint"
+        run, "doc_id bigint, n_shingles bigint, vertex bigint, text_hash bigint, sketch binary"
     )
 
 
@@ -219,26 +243,42 @@ def all_pairs(members: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _compared(pairs: DataFrame, facts: DataFrame, passes) -> DataFrame:
+    """The pairs (a, b) for which ``passes(fact of a, fact of b)``; facts: vertex, fact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 500):
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b")], ["a", "b"]
-            ).filter(pa.array(good, pa.bool_()))
+            good = [passes(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            both = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
+            yield both.filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y")), "b"
-    )
+    of = lambda end, name: facts.select(F.col("vertex").alias(end), F.col("fact").alias(name))
+    joined = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def likely(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sketches do not rule out."""
+
+    def passes(x: dict, y: dict) -> bool:
+        both = x["n"] + y["n"]
+        return (100 + percent) * most_common(x["sketch"], y["sketch"], x["n"], y["n"]) >= percent * both
+
+    facts = vertices.select("vertex", F.struct("n", "sketch").alias("fact"))
+    return _compared(pairs, facts, passes)
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough."""
+
+    def passes(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    return _compared(pairs, sets.withColumnRenamed("shingles", "fact"), passes)
+
+
 def components(links: DataFrame) -> DataFrame:
     """vertex, component: the smallest vertex that links (a, b) reach.
 
@@ -292,12 +332,30 @@ def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     order, boundary = sample(docs, size, percent)
     path = scratch(docs.sparkSession, "lists")
     members = write(lists(docs, order, boundary, size, percent), path)
-    # The sets of all members, from one document of each.
-    wanted = members.select("vertex").distinct()
-    source = digest.join(wanted, "vertex", "left_semi").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
-    ids = keep(source.select("doc_id").distinct(), "wanted")
-    some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    sets = keep(_sets(some, size).join(wanted, "vertex", "left_semi").dropDuplicates(["vertex"]), "sets")
+    # One document of each member.
+    vertices = keep(
+        digest.join(members.select("vertex").distinct(), "vertex", "left_semi")
+        .groupBy("vertex")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
+        "vertices",
+    )
+    digest = digest.drop("sketch")
+    rows = members.count()
+    sets = None
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        nonlocal sets
+        passed = keep(likely(keep(pairs, "pairs"), vertices, percent), "likely")
+        ends = passed.select(F.col("a").alias("vertex")).union(passed.select("b")).distinct()
+        if sets is not None:
+            ends = ends.join(sets.select("vertex"), "vertex", "left_anti")
+        ends = keep(ends, "ends")
+        ids = keep(vertices.join(ends, "vertex").select("doc_id").distinct(), "wanted")
+        some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+        more = _sets(some, size).join(ends, "vertex", "left_semi").dropDuplicates(["vertex"])
+        more = keep(more, "sets")
+        sets = more if sets is None else sets.unionByName(more)
+        return keep(linked(passed, sets, percent), "linked")
 
     links = None
     now = members.withColumn("component", F.col("vertex"))
@@ -309,9 +367,8 @@ def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         open_pairs = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
         if not open_pairs:
             break
-        last = open_pairs > 0.7 * before or open_pairs < 10_000
-        pairs = keep(all_pairs(now, percent) if last else star_pairs(now, turn, percent), "pairs")
-        more = keep(linked(pairs, sets, percent), "linked")
+        last = open_pairs > 0.7 * before or open_pairs < FEW * rows
+        more = links_of(all_pairs(now, percent) if last else star_pairs(now, turn, percent))
         links = more if links is None else links.unionByName(more)
         labels = components(links)
         if last:

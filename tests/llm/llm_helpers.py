@@ -3,8 +3,6 @@
 import random
 import re
 
-from pyspark.sql import types as T
-
 DATA = "/root/testdata"
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,6 +59,3 @@ def sample_texts(n=60, seed=1, vocabulary=400, longest=300):
             texts.append(r.choice([" ", " ", "\n", ". "]).join(some).capitalize())
     r.shuffle(texts)
     return texts
-
-
-EMPTY = T.StructType([])
