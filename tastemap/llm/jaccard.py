@@ -52,8 +52,9 @@ PERCENT = 75
 SAMPLED = 8
 #: Shingles that are ordered by their frequency in the sample, at most.
 FREQUENT = 200_000
-#: Pairs for each list entry that are few enough to be compared at once.
-FEW = 3
+#: Pairs for each list entry that are few enough to be compared at once, after a round
+#: of one set of each list with the others.
+FEW = 1
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -367,7 +368,7 @@ def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         open_pairs = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
         if not open_pairs:
             break
-        last = open_pairs > 0.7 * before or open_pairs < FEW * rows
+        last = turn > 0 and (open_pairs > 0.7 * before or open_pairs < FEW * rows)
         more = links_of(all_pairs(now, percent) if last else star_pairs(now, turn, percent))
         links = more if links is None else links.unionByName(more)
         labels = components(links)
