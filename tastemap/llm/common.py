@@ -91,7 +91,7 @@ def alnum_words(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word; holds at most ``limit`` words."""
 
-    limit = 400_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -45,7 +45,7 @@ _TO_SHAPE = bytes(
 class _Shapes(dict):
     """Number of each word's shape; holds at most ``limit`` words."""
 
-    limit = 400_000
+    limit = 50_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -57,7 +57,7 @@ class Encoder:
     ordinary text. ``limit`` bounds the caches; see ``_Recent``.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
