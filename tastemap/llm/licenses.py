@@ -5,7 +5,9 @@ one with the smallest hash is kept, so five equal words in a row share one. The
 fingerprints of all templates form an inverted index, which is as large as the
 templates and goes to every task; documents do not move. Hits of one template
 that lie near each other and near one diagonal make a candidate region, which is
-aligned with the template word by word in a band around that diagonal.
+aligned with the template word by word in a band around that diagonal, unless it has
+too few of the template's words for a match in any order. Of the templates that match
+one place, the one that fits it best stands.
 """
 
 from __future__ import annotations
@@ -18,59 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tastemap.llm.common import WORDS, alnum_words, ngrams, pieces_of, utf8
+from tastemap.llm.notices import TEMPLATES
 
 K, WINDOW = 3, 3
 #: Words that the alignment may stray from a region's diagonals.
 BAND = 8
+#: Of templates of more words, grams that repeat in the template count for nothing,
+#: and a diagonal needs ``size // LONG`` hits nearby, lest chance hits widen the band.
+LONG = 400
 #: Least share of a template's words that a match holds.
 COVERAGE = 0.6
 
-#: Fixed texts: notices of public licenses, by SPDX-like name.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file '
-        "except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
-        'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT '
-        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
-        "specific language governing permissions and limitations under the License."
-    ),
-    "MIT": "Released under the MIT License.",
-    "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
-        'and associated documentation files (the "Software"), to deal in the Software without '
-        "restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
-        "Software is furnished to do so, subject to the following conditions: The above copyright "
-        "notice and this permission notice shall be included in all copies or substantial portions of "
-        "the Software."
-    ),
-    "BSD-text": (
-        "Redistribution and use in source and binary forms, with or without modification, are "
-        "permitted provided that the following conditions are met: Redistributions of source code must "
-        "retain the above copyright notice, this list of conditions and the following disclaimer."
-    ),
-    "ISC-text": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
-        "without fee is hereby granted, provided that the above copyright notice and this permission "
-        "notice appear in all copies."
-    ),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of "
-        "the GNU General Public License as published by the Free Software Foundation, either version 3 "
-        "of the License, or (at your option) any later version."
-    ),
-    "MPL-2.0-header": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
-        "copy of the MPL was not distributed with this file, You can obtain one at "
-        "http://mozilla.org/MPL/2.0/."
-    ),
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-}
-
 
 def winnowed(grams: np.ndarray) -> np.ndarray:
     """Positions of the smallest of each ``WINDOW`` n-grams; equal ones all count."""
@@ -93,10 +53,24 @@ class TemplateIndex:
         postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
             grams = ngrams(words, K)
-            for at in winnowed(grams).tolist():
-                postings[int(grams[at])].append((t, at))
+            at = winnowed(grams)
+            if len(words) > LONG:
+                value, count = np.unique(grams, return_counts=True)
+                at = at[count[np.searchsorted(value, grams[at])] == 1]
+            for p in at.tolist():
+                postings[int(grams[p])].append((t, p))
         self.postings = dict(postings)
         self.marks = np.array(sorted(postings), np.uint64)
+        #: Each template's distinct words, in order, and how often it has them.
+        self.bags = [np.unique(words, return_counts=True) for words in self.words]
+
+    def bound(self, t: int, words: np.ndarray) -> int:
+        """Words of the template that ``words`` has in any order: no alignment has more."""
+        own, count = self.bags[t]
+        if not len(own):
+            return 0
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == words], minlength=len(own)), count).sum())
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(template, first and last word of the region, lowest and highest diagonal)."""
@@ -105,21 +79,26 @@ class TemplateIndex:
         grams = ngrams(words, K)
         at = winnowed(grams)
         near = np.minimum(np.searchsorted(self.marks, grams[at]), len(self.marks) - 1)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        hits: dict[int, list[int]] = defaultdict(list)
         for p in at[self.marks[near] == grams[at]].tolist():
             for t, q in self.postings[int(grams[p])]:
-                hits[t].append((p - q, p))
+                hits[t].append(p - q)
         regions = []
         for t, found in hits.items():
             size = len(self.words[t])
-            groups: list[list[int]] = []  # [low, high, first, last]
-            for diagonal, p in sorted(found):
-                if groups and diagonal - groups[-1][1] <= BAND:
-                    low, _, first, last = groups[-1]
-                    groups[-1] = [low, diagonal, min(first, p), max(last, p)]
+            diagonals = np.sort(np.array(found))
+            apart = BAND
+            if size > LONG:
+                near = np.searchsorted(diagonals, diagonals + BAND, "right") - np.searchsorted(diagonals, diagonals - BAND)
+                diagonals = diagonals[near >= size // LONG]
+                apart = max(BAND, size // 50)
+            groups: list[list[int]] = []  # [low, high]
+            for diagonal in diagonals.tolist():
+                if groups and diagonal - groups[-1][1] <= apart:
+                    groups[-1][1] = diagonal
                 else:
-                    groups.append([diagonal, diagonal, p, p])
-            for low, high, _, _ in groups:
+                    groups.append([diagonal, diagonal])
+            for low, high in groups:
                 start, end = max(0, low - BAND), min(len(words), high + size + BAND)
                 regions.append((t, start, end, low, high))
         return regions
@@ -133,31 +112,36 @@ def align(template: np.ndarray, words: np.ndarray, low: int, high: int):
     ends first wins.
     """
     width = high - low + 1
-    same = np.zeros(width, bool)
-    score, source = [0] * (width + 2), [None] * (width + 2)  # a column of zeros on each side
+    place = np.arange(width)
+    # A column of zeros on each side; where a score is positive, the first word, the
+    # first template word and the equal words of its alignment.
+    score, source = np.zeros(width + 2, np.int64), np.zeros((3, width + 2), np.int64)
     best = (0, 0, 0, 0, 0, 0)
     for i in range(len(template)):
         # Offset d stands for word i + low + d; the row above is one word further left.
         first = i + low
         a, b = max(0, -first), min(width, len(words) - first)
-        same[:] = False
+        row, origin = np.zeros(width + 2, np.int64), np.zeros((3, width + 2), np.int64)
         if a < b:
-            same[a:b] = words[first + a : first + b] == template[i]
-        row, origin = [0] * (width + 2), [None] * (width + 2)
-        for d in range(a, b):
-            step = score[d + 1] + (1 if same[d] else -1)
-            value, where = 0, None
-            if step > 0:
-                value = step
-                old = source[d + 1]
-                where = (old[0], old[1], old[2] + bool(same[d])) if old else (first + d, i, int(same[d]))
-            if score[d + 2] - 1 > value:  # a template word skipped
-                value, where = score[d + 2] - 1, source[d + 2]
-            if row[d] - 1 > value:  # a word skipped
-                value, where = row[d] - 1, origin[d]
-            row[d + 1], origin[d + 1] = value, where
-            if value > best[0]:
-                best = (value, where[2], where[0], first + d + 1, where[1], i + 1)
+            at = place[a:b]
+            same = words[first + a : first + b] == template[i]
+            step = score[a + 1 : b + 1] + np.where(same, 1, -1)
+            skip = score[a + 2 : b + 2] - 1  # a template word skipped
+            old = source[:, a + 1 : b + 1].copy()
+            fresh = score[a + 1 : b + 1] == 0
+            old[0, fresh], old[1, fresh], old[2, fresh] = first + at[fresh], i, 0
+            old[2] += same
+            by_skip = skip > step
+            value = np.maximum(np.maximum(step, skip), 0)
+            old[:, by_skip] = source[:, a + 2 : b + 2][:, by_skip]
+            # Words skipped: the value of a cell further left, less the distance.
+            reach = np.maximum.accumulate(value + at)
+            come = np.maximum.accumulate(np.where(value + at == reach, at - a, 0))
+            row[a + 1 : b + 1], origin[:, a + 1 : b + 1] = reach - at, old[:, come]
+            top = int(row[a + 1 : b + 1].argmax())
+            if row[a + 1 + top] > best[0]:
+                word, begin, equal = origin[:, a + 1 + top].tolist()
+                best = (int(row[a + 1 + top]), equal, word, first + a + top + 1, begin, i + 1)
         score, source = row, origin
     return best
 
@@ -165,25 +149,42 @@ def align(template: np.ndarray, words: np.ndarray, low: int, high: int):
 def find(index: TemplateIndex, words: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(template, equal words, first and end word, first and end template word).
 
-    Of matches of one template that overlap, the one with more equal words stays.
+    Of matches that overlap, the one that fits best stands: that with the most equal
+    words less the other words of its span and the template's words that it lacks.
+    Matches of several templates overlap if they share more than half of the shorter
+    one, and all that fit equally well stand.
     """
     found = []
     regions = index.candidates(words)
     while regions:
         t, start, end, low, high = regions.pop()
+        least = COVERAGE * len(index.words[t])
+        if end - start < least or index.bound(t, words[start:end]) < least:
+            continue
         _, equal, a, b, c, d = align(
             index.words[t], words[start:end], low - start - BAND, high - start + BAND
         )
-        if equal < COVERAGE * len(index.words[t]):
+        if equal < least:
             continue
         found.append((t, equal, a + start, b + start, c, d))
         # Notices close to each other share a region: look before and after the match.
         regions += [(t, start, start + a, low, high), (t, start + b, end, low, high)]
+
+    def fit(m) -> int:
+        return 3 * m[1] - (m[3] - m[2]) - len(index.words[m[0]])
+
     kept: list[tuple[int, int, int, int, int, int]] = []
-    for m in sorted(found, key=lambda m: (m[0], -m[1], m[2])):
-        if not any(m[0] == o[0] and m[2] < o[3] and o[2] < m[3] for o in kept):
+    for m in sorted(found, key=lambda m: (-fit(m), m[0], m[2])):
+        for o in kept:
+            shared = min(m[3], o[3]) - max(m[2], o[2])
+            if m[0] == o[0]:
+                if shared > 0:
+                    break
+            elif 2 * shared > min(m[3] - m[2], o[3] - o[2]) and fit(o) > fit(m):
+                break
+        else:
             kept.append(m)
-    return kept
+    return sorted(kept, key=lambda m: (m[0], -m[1], m[2]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

@@ -90,3 +90,35 @@ def test_query_finds_every_whole_notice(spark):
         expected |= {(r.doc_id, n) for n, t in licenses.TEMPLATES.items() if f" {' '.join(alnum_words(t))} " in text}
     assert expected and found == expected
     assert all(0.6 <= r.coverage <= 1 and r.word_start < r.word_end for r in got)
+
+
+def names_in(text, index=licenses.TemplateIndex(licenses.TEMPLATES)):
+    return {index.names[m[0]]: m[1] / len(index.words[m[0]]) for m in licenses.find(index, hashes(alnum_words(text)))}
+
+
+def test_sibling_licenses_are_told_apart():
+    start = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for name, values in {
+        "GPL-2.0-header": ("program", "General Public License", "2"),
+        "GPL-3.0-header": ("program", "General Public License", "3"),
+        "LGPL-2.1-header": ("library", "Lesser General Public License", "2.1"),
+        "AGPL-3.0-header": ("program", "Affero General Public License", "3"),
+    }.items():
+        assert names_in(f"x y {start.format(*values)} z") == {name: 1.0}
+    work = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    assert names_in(work.format("")) == {"CC-BY-4.0": 1.0}
+    assert names_in(work.format("-ShareAlike")) == {"CC-BY-SA-4.0-notice": 1.0}
+    assert names_in("Licensed under CC BY-NC-SA 4.0.") == {"CC-BY-NC-SA-4.0-short": 1.0}
+    for name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Apache-1.1", "GPL-2.0"):
+        assert names_in(licenses.TEMPLATES[f"{name}-text"]) == {f"{name}-text": 1.0}
+
+
+def test_a_text_without_its_warranty_is_still_found():
+    for name in ("MIT-grant", "ISC-grant", "BSD-grant"):
+        assert names_in(licenses.TEMPLATES[name]).get(name) == 1.0
+
+
+def test_neighbours_both_stand():
+    assert names_in("Released under the MIT License. Licensed under the Apache License, Version 2.0.") == {
+        "MIT": 1.0, "Apache-2.0": 1.0,
+    }
