@@ -62,14 +62,26 @@ class BallTree:
         self.centres = np.array(centres)
         self.radii = np.array(radii)
         self.vectors = np.ascontiguousarray(vectors[self.order])
+        self.norms = np.sqrt((self.vectors.astype(np.float64) ** 2).sum(axis=1))
+
+    def scores(self, start: int, end: int, query: np.ndarray, norm: float, skip: np.ndarray) -> np.ndarray:
+        """Inner products; an error if one of a row not skipped does not fit a long."""
+        scores = self.vectors[start:end] @ query
+        for i in np.flatnonzero((self.norms[start:end] * norm >= 2.0**62) & ~skip[start:end]).tolist():
+            exact = sum(int(a) * int(b) for a, b in zip(self.vectors[start + i], query))
+            if abs(exact) >= 1 << 63:
+                raise ValueError("an inner product does not fit a long; take a smaller scale")
+            scores[i] = exact
+        return scores
 
     def search(self, query: np.ndarray, k: int, least: int, skip: np.ndarray, ids: np.ndarray):
         """The k best rows (positions in ``vectors``) by (score falling, id rising).
 
         ``least``: rows with lower scores may be left out. ``skip``: row to leave out.
         """
-        above = self.centres @ query + np.sqrt(float(query @ query)) * self.radii
-        above += 1e-6 * (1 + np.abs(above))  # more than any rounding error
+        norm = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
+        above = self.centres @ query + norm * self.radii
+        above += 1e-6 * (1 + np.abs(above)) + 1e-9 * norm * self.norms.max(initial=0)  # more than any rounding error
         best = np.zeros(0, np.int64), np.zeros(0, np.int64)
         heap = [(-above[0], 0)]
         while heap:
@@ -82,7 +94,7 @@ class BallTree:
                     if above[child] >= least:
                         heapq.heappush(heap, (-above[child], child))
                 continue
-            scores = self.vectors[start:end] @ query
+            scores = self.scores(start, end, query, norm, skip)
             at = np.flatnonzero((scores >= least) & ~skip[start:end])
             if len(at):
                 value = np.append(best[0], scores[at])
@@ -96,12 +108,18 @@ class BallTree:
 
 def quantised(df: DataFrame, id_column: str, column: str, scale: int) -> DataFrame:
     """id and integer vector floor(scale * x); vectors that are null, or hold a null
-    or a component that is not finite, are left out, and so are rows without id."""
+    or a component that is not finite, are left out, and so are rows without id. A
+    finite component that does not fit a long is an error."""
     x = F.transform(column, lambda v: v.cast("double"))
-    fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e15))
+    fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & ((F.abs(v) < float("inf"))))
     return df.where(F.col(id_column).isNotNull() & F.col(column).isNotNull() & fit).select(
         F.col(id_column).cast("bigint").alias("id"),
-        F.transform(x, lambda v: F.floor(v * scale).cast("bigint")).alias("vector"),
+        F.transform(
+            x,
+            lambda v: F.when(F.abs(v * scale) < 2.0**63, F.floor(v * scale).cast("bigint")).otherwise(
+                F.raise_error("a component does not fit a long; take a smaller scale").cast("bigint")
+            ),
+        ).alias("vector"),
     )
 
 
@@ -120,17 +138,18 @@ def _search(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     if rows.num_rows and queries.num_rows:
         ids = rows["id"].to_numpy()
         vectors = _matrix(rows["vector"])
+        asked = _matrix(queries["vector"])
         # Whole numbers below 2**53 are exact in floats, whose products are faster.
-        exact = float(np.abs(vectors).max(initial=1)) ** 2 * max(1, vectors.shape[1]) < 2**50
-        tree = BallTree(vectors.astype(np.float64) if exact else vectors)
+        largest = max(float(np.abs(m.astype(np.float64)).max(initial=1)) for m in (vectors, asked))
+        if largest**2 * max(1, vectors.shape[1]) < 2**50:
+            vectors, asked = vectors.astype(np.float64), asked.astype(np.float64)
+        tree = BallTree(vectors)
         ids = ids[tree.order]
-        asked = _matrix(queries["vector"])
-        asked = asked.astype(np.float64) if exact and np.abs(asked).max(initial=0) < 2**20 else asked
         for query_id, block, least, query in zip(
             queries["query_id"].to_pylist(), queries["block"].to_pylist(),
             queries["least"].to_pylist(), asked,
         ):
-            least = -(1 << 62) if least is None else least
+            least = -(1 << 63) if least is None else least
             score, at = tree.search(query, k, least, ids == query_id, ids)
             out["query_id"] += [query_id] * len(at)
             out["block"] += [block] * len(at)

@@ -65,6 +65,18 @@ def test_tree_prunes_without_losing(monkeypatch):
         assert ids[at].tolist() == best.tolist() and score.tolist() == every[best].tolist()
 
 
+def test_large_finite_components_are_candidates(spark):
+    rows = [(0, [0.01, 0.0]), (1, [2e15, 0.0]), (2, [0.0, 1.0]), (3, [3.0, 0.0])]
+    assert search(spark, rows, 3) == brute(rows, 3, 5)
+    assert search(spark, rows, 3)[0] == (0, 1, 1, 2 * 256 * int(np.float32(2e15)))
+
+
+@pytest.mark.parametrize("x", [3e7, 2e15, 1e30])
+def test_a_product_beyond_a_long_is_an_error(spark, x):
+    with pytest.raises(Exception, match="does not fit a long"):
+        search(spark, [(0, [x, 0.0]), (1, [x, 0.0])], 1)
+
+
 def test_query(spark):
     from tastemap.llm import QUERIES
 
