@@ -410,14 +410,16 @@ def representatives(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """``docs`` with one row of each component, that of the smallest doc_id.
 
     Of rows with that id the one with the smallest text hash stays; a row without id
-    stays if the component has no other. Rows without words stay. Repeated rows with
-    equal id and text are one.
+    stays if the component has no other. Of those, repeated rows with equal id and text
+    are one. Rows without words stay, each.
     """
     found = keep(classes(docs, size, percent), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     chosen = found.where("n_shingles > 0").groupBy("root").agg(first).select("first.doc_id", "first.text_hash")
-    wordless = found.where("n_shingles = 0").select("doc_id", "text_hash")
-    chosen = keep(chosen.unionByName(wordless).distinct(), "stay").alias("c")
-    rows = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d")
+    chosen = keep(chosen.distinct(), "stay").alias("c")
+    # What separates words, see ``space_words``.
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(has_words).withColumn("_text_hash", F.xxhash64("text")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._text_hash") == F.col("c.text_hash"))
-    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    stay = rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    return stay.unionByName(docs.where(~has_words))

@@ -141,6 +141,12 @@ def test_representatives(spark):
     assert sorted(r.doc_id for r in kept.collect()) == expected
 
 
+def test_rows_without_words_all_stay(spark):
+    rows = [(None, None)] * 3 + [(1, "")] * 2 + [(2, " \t\r\n"), (2, " \t\r\n"), (3, "a b"), (3, "a b"), (4, "\u00a0")]
+    got = [(r.doc_id, r.text) for r in jaccard.representatives(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([*rows[:7], (3, "a b"), (4, "\u00a0")], key=str)
+
+
 def test_query(spark):
     from tastemap.llm import QUERIES
 
