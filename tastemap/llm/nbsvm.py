@@ -3,9 +3,9 @@
 A text's features are indicators of its word n-grams (one and two lower-case
 words) and of the n-grams of its words' shapes (one to three), hashed to ``SIZE``
 places. A shape writes upper case as X, lower case as x, digits as 9, other signs
-as they are, and repeats once. A shape n-gram has one indicator for each power of
-two that its share of the text reaches, so that a habit of the whole text is told
-from a single slip. Nothing else of the row is looked at.
+as they are, and repeats once. A shape n-gram has one indicator for being there and
+one for each power of two that its share of the text reaches, so that a habit of the
+whole text is told from a single slip. Nothing else of the row is looked at.
 
 The model is fitted on a sample of about ``SAMPLE`` labelled documents, drawn by a
 hash of the id. Their ids and labels are few enough to go to every task, so no text
@@ -32,7 +32,7 @@ from tastemap.llm.common import WORDS, keep, mix, pieces_of, utf8
 SIZE = 1 << 18
 #: Bound of the rows that the hinge-loss model is fitted on.
 SAMPLE = 8_000
-#: Smallest share of a text's shape n-grams that has an indicator: 2 ** -LEVELS.
+#: Smallest share of a text's shape n-grams that has an indicator of its own: 2 ** -LEVELS.
 LEVELS = 6
 
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -50,7 +50,7 @@ class _Shapes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        shape = _RUN.sub(rb"\1", word.translate(_TO_SHAPE))[:12]
+        shape = _RUN.sub(rb"\1", word.translate(_TO_SHAPE))
         value = self[word] = xxhash.xxh64_intdigest(shape, 1)
         return value
 
@@ -77,6 +77,7 @@ def features(text: bytes) -> np.ndarray:
             gram = mix(gram[: n - k + 1] ^ s[k - 1 :])
             value, count = np.unique(gram, return_counts=True)
             share = count / (n - k + 1)
+            found.append(mix(value ^ _seeded(10 * k + LEVELS + 101)))
             for level in range(LEVELS + 1):
                 found.append(mix(value[share >= 0.5**level] ^ _seeded(10 * k + level + 100)))
     places = np.concatenate(found[1:]) if len(found) > 1 else found[0][:0]

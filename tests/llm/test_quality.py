@@ -12,6 +12,16 @@ def test_shapes_of_words():
     assert shapes["é1".encode()] == shapes[b"a22"]
 
 
+def test_long_shapes_differ_after_their_start():
+    shapes = nbsvm._Shapes()
+    assert shapes[b"a1" * 9 + b"#"] != shapes[b"a1" * 9 + b"%"]
+
+
+def test_a_rare_shape_has_a_feature():
+    plain, one, two = (set(nbsvm.features(b"word " * 10_000 + x).tolist()) for x in (b"", b"Qab#7", b"Rcd#8"))
+    assert (one & two) - plain
+
+
 def test_features_are_sets_and_cover_empty_texts():
     assert nbsvm.features(b"").tolist() == [0]
     one = nbsvm.features(b"a b c " * 50)
