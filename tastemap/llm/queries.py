@@ -12,6 +12,7 @@ from tastemap.llm.boilerplate import PAGES_SQL, drop_boilerplate, page_lines
 from tastemap.llm.common import crc_fold
 from tastemap.llm.decontaminate import report
 from tastemap.llm.packing import pack
+from tastemap.llm.phrases import PHRASES_SQL, collocations
 from tastemap.llm.simple8b import token_files
 from tastemap.llm.tokens import public_path
 from tastemap.sources import table
@@ -81,6 +82,11 @@ def op10_balltree(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op12_phrases(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    return collocations(documents, support=10, longest=3, top=2000, covered=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": op1_katz,
     "op2_simple8b": op2_simple8b,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_balltree": op10_balltree,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,4 +119,5 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op12_phrases": PHRASES_SQL,
 }
