@@ -15,6 +15,7 @@ from tastemap.llm.packing import pack
 from tastemap.llm.phrases import PHRASES_SQL, collocations
 from tastemap.llm.simple8b import token_files
 from tastemap.llm.tokens import public_path
+from tastemap.llm.whitening import whiten
 from tastemap.sources import table
 
 
@@ -87,6 +88,10 @@ def op12_phrases(spark: SparkSession, directory: str) -> DataFrame:
     return collocations(documents, support=10, longest=3, top=2000, covered=50)
 
 
+def op13_whitening(spark: SparkSession, directory: str) -> DataFrame:
+    return whiten(table(spark, directory, "embeddings"), "vec_id", "embedding", k=16, scale=64, shift=1_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": op1_katz,
     "op2_simple8b": op2_simple8b,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_balltree": op10_balltree,
     "op12_phrases": op12_phrases,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,0 +1,138 @@
+"""op13 against a dense eigendecomposition, and exact sums in whole numbers."""
+
+import math
+
+import numpy as np
+import pytest
+from llm_helpers import DATA
+
+from tastemap.llm import whitening
+from tastemap.llm.queries import QUERIES
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, id string, x string, component string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, 0, "clash", "clash", "clash") for i, v in rows], SCHEMA)
+
+
+def whole(v, scale=64, shift=1_000_000):
+    if not v or any(x is None or not math.isfinite(x) for x in v):
+        return None
+    return tuple(math.floor(scale * float(np.float32(x))) + shift for x in v)
+
+
+def check(got, rows, k=16):
+    """``got``: rows of whiten(); ``rows``: (id, vector)."""
+    xs = [(i, x) for i, v in rows if (x := whole(v)) is not None]
+    fit = np.array(sorted({x for _, x in xs}))
+    n, sums = len(fit), [sum(map(int, c)) for c in fit.T]
+    centred = np.array([[n * int(a) - s for a, s in zip(row, sums)] for row in fit], np.float64) / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    found = min(k, int((values > 1e-14 * values[0]).sum()))
+    by_row = {}
+    for r in got:
+        by_row.setdefault((r["vec_id"], r["deviation"]), []).append(r)
+    assert len(got) == found * len(xs)
+    want = sorted(((i, sum((n * a - s) ** 2 for a, s in zip(x, sums))) for i, x in xs), key=str)
+    assert sorted(((i, d) for (i, d), part in by_row.items() for _ in range(len(part) // found)), key=str) == want
+    errors = {r["identity_error"] for r in got}
+    assert len(errors) == 1 and errors.pop() < 1e-8
+    assert {r["n"] for r in got} == {n}
+    basis = np.zeros((len(sums), found))
+    white = {}
+    for r in got:
+        e = values[r["component"] - 1]
+        assert abs(r["explained"] - e / values.sum()) <= 1e-8 * r["explained"]
+        white.setdefault((r["vec_id"], r["deviation"]), {})[r["component"]] = r["whitened"]
+    a, y = [], []
+    for i, x in xs:
+        key = i, sum((n * a - s) ** 2 for a, s in zip(x, sums))
+        a.append(np.array([n * v - s for v, s in zip(x, sums)], np.float64) / n)
+        y.append([white[key][c + 1] * math.sqrt(values[c]) for c in range(found)])
+    # The components that explain the results: eigenvectors of the covariance, unit.
+    a, y = np.array(a), np.array(y)
+    basis = np.linalg.lstsq(a, y, rcond=None)[0]
+    assert np.allclose(a @ basis, y, atol=1e-7 * math.sqrt(values[0]))
+    cov = centred.T @ centred / n
+    for c in range(found):
+        along = vectors[:, np.abs(values - values[c]) < 1e-6 * values[0]]
+        unit = a @ (along @ (along.T @ basis[:, c]))  # within the space of the value
+        assert np.allclose(unit, y[:, c], atol=1e-6 * math.sqrt(values[0]))
+        assert np.allclose(a @ (cov @ basis[:, c]), values[c] * y[:, c], atol=1e-7 * values[0] ** 1.5)
+
+
+def whitened(spark, rows, k=16, **options):
+    got = whitening.whiten(frame(spark, rows).repartition(3), "vec_id", "embedding", k, **options)
+    assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    return got.collect()
+
+
+@pytest.mark.parametrize("width, decay, block", [(7, 0.5, 4096), (24, 0.97, 50), (70, 0.6, 333)])
+def test_equals_dense(spark, width, decay, block):
+    rng = np.random.default_rng(width)
+    vectors = rng.normal(size=(600, width)) * decay ** np.arange(width) * 9 + 3
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(1000 + i, vectors[i % 2].tolist()) for i in range(300)] + rows[:5]  # copies, repeated rows
+    rows += [(2000, None), (2001, []), (2002, [None] * width), (2003, [float("nan")] * width), (None, vectors[9].tolist())]
+    check(whitened(spark, rows, block=block), rows)
+
+
+def test_equal_values_and_empty_directions(spark):
+    """Values of several vectors each, and directions without variance."""
+    corners = [(i, [float(i >> b & 1) * (4.0 if b < 6 else 2.0) for b in range(9)] + [1.0, 2.0]) for i in range(512)]
+    check(whitened(spark, corners, k=6), corners, k=6)
+    check(whitened(spark, corners, k=16), corners, k=16)
+
+
+def test_early_end_finds_values_left(spark):
+    """A wide table of few leading values, of which two are equal."""
+    rng = np.random.default_rng(3)
+    q, _ = np.linalg.qr(rng.normal(size=(400, 40)) - 0.0)
+    q -= q.mean(axis=0)
+    q, _ = np.linalg.qr(q)
+    spread = np.array([9.0, 9.0, 9.0, 5.0, 5.0] + [0.01] * 35)
+    calls = []
+
+    def times(p):
+        calls.append(1)
+        w = (q * spread) @ p
+        return (q * spread).T @ w, w @ w
+
+    values, vectors = whitening.components(times, 40, 4)
+    assert np.allclose(values, [9, 9, 9, 5], rtol=1e-9)
+    assert np.allclose(vectors @ vectors.T, np.eye(4), atol=1e-12)
+    assert np.allclose(np.abs(vectors[:3, :3] @ vectors[:3, :3].T), np.eye(3), atol=1e-9)
+    assert len(calls) < 40
+
+
+def test_nothing_to_whiten(spark):
+    assert whitened(spark, []) == []
+    assert whitened(spark, [(1, None)]) == []
+    assert whitened(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])]) == []
+    pair = [(1, [1.0, 2.0]), (2, [1.0, 3.0])]
+    check(whitened(spark, pair), pair)
+
+
+def test_errors(spark):
+    with pytest.raises(Exception, match="several lengths"):
+        whitened(spark, [(1, [1.0]), (2, [1.0, 2.0])])
+    with pytest.raises(Exception, match="fit a long"):
+        whitened(spark, [(1, [1e30]), (2, [1.0])])
+
+
+def test_exact_beyond_doubles():
+    middle = whitening.Centre(3, np.array([3_000_000_000_001, 7]))
+    x = np.array([[1_000_000_000_003, -5]])
+    row = [3 * 1_000_000_000_003 - 3_000_000_000_001, -15 - 7]
+    assert middle.rows(x).tolist() == [row]
+    big = np.array([[2_500_000_001, 1_500_000_003]])
+    assert middle.deviation(big) == [2_500_000_001**2 + 1_500_000_003**2]
+    with pytest.raises(ValueError, match="fit a long"):
+        middle.deviation(np.array([[1 << 32, 1]]))
+
+
+def test_query(spark):
+    rows = spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    check(QUERIES["op13_whitening"](spark, f"{DATA}/sf0.001").collect(), [tuple(r) for r in rows.collect()])
