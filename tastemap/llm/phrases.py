@@ -42,7 +42,9 @@ _PLAIN = bytes(
 #: Bits of the map of frequent phrases; 8 MB.
 BITS = 1 << 26
 #: Words of a shard, unless one text has more.
-SHARD = 1 << 21
+SHARD = 1 << 20
+#: Phrases that are written out at a time.
+SOME = 50_000
 #: Languages whose words are known to the shards; others have a local support of 1.
 LANGUAGES = 1000
 _SEED = 42  # of Spark's xxhash64
@@ -106,28 +108,34 @@ class Shard:
         self.texts.append(np.zeros(1, np.int32))
         return len(words)
 
-    def phrases(self, lang: bytes, length: int, maps: list[Bitmap]) -> tuple[list[bytes], np.ndarray, int]:
-        """The phrases of ``length`` words whose parts ``maps`` has, their counts, and
-        the number of words."""
-        at = np.concatenate(self.texts)
+    def texts_at(self, starts: np.ndarray, size: int) -> Iterator[list[bytes]]:
+        """The phrases of ``size`` words at these places, some at a time."""
         names = list(self.numbers)
-        n_words = int((at > 0).sum())
-        found, count = names, np.bincount(at, minlength=len(names))
-        # at[i]: number, in ``found``, of the phrase that starts at the i-th word; 0 for none.
-        word = at
+        for i in range(0, len(starts), SOME):
+            places = starts[i : i + SOME, None] + np.arange(size)
+            yield [b" ".join([names[w] for w in row]) for row in self.words[places].tolist()]
+
+    def phrases(self, lang: bytes, length: int, maps: list[Bitmap]) -> tuple[np.ndarray, np.ndarray]:
+        """A place of each phrase of ``length`` words whose parts ``maps`` has, and its
+        count."""
+        self.words = np.concatenate(self.texts)
+        self.texts = []
+        # at[i]: number of the phrase that starts at the i-th word; -1 for none.
+        _, start, at, count = np.unique(self.words, return_index=True, return_inverse=True, return_counts=True)
+        at = np.where(self.words > 0, at.reshape(-1), -1)
+        start, count = start[1:], count[1:]  # 0 comes first
+        at -= at > -1
         for size, known in zip(range(2, length + 1), maps):
-            good = known.has(lang, found)
-            good[0] = False
-            good = good[at]
-            start = np.flatnonzero(good[:-1] & good[1:])
-            key = at[start].astype(np.int64) << 32 | word[start + size - 1]
-            value, number, count = np.unique(key, return_inverse=True, return_counts=True)
-            left, right = (value >> 32).tolist(), (value & 0xFFFFFFFF).tolist()
-            found = [b"", *(found[a] + b" " + names[b] for a, b in zip(left, right))]
-            count = np.concatenate([[0], count])
-            at = np.zeros(max(0, len(at) - 1), np.int64)
-            at[start] = number.reshape(-1) + 1
-        return found[1:], count[1:], n_words
+            good = [known.has(lang, texts) for texts in self.texts_at(start, size - 1)]
+            good = np.append(np.concatenate(good), False) if good else np.zeros(1, bool)
+            good = good[at]  # -1 is the last
+            place = np.flatnonzero(good[:-1] & good[1:])
+            key = at[place].astype(np.int64) << 32 | self.words[place + size - 1]
+            _, first, number, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            start = place[first]
+            at = np.full(max(0, len(at) - 1), -1, np.int64)
+            at[place] = number.reshape(-1)
+        return start, count
 
 
 def mine(
@@ -144,14 +152,18 @@ def mine(
     def rows(shards: dict[str, Shard]) -> Iterator[pa.RecordBatch]:
         maps, totals = sent.value
         for lang, own in shards.items():
-            found, count, words = own.phrases(lang.encode(), length, maps)
-            own.texts = []
+            start, count = own.phrases(lang.encode(), length, maps)
+            words = int((own.words > 0).sum())
             least = local_support(support, words, totals[lang]) if lang in totals else 1
-            for i in range(0, len(found), 100_000):
-                part = count[i : i + 100_000].astype(np.int64)
-                texts = pa.array(found[i : i + 100_000], pa.binary()).cast(pa.string())
+            for i, texts in enumerate(own.texts_at(start, length)):
+                part = count[i * SOME : (i + 1) * SOME].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part)), texts, pa.array(part), pa.array(part >= least)],
+                    [
+                        pa.array([lang] * len(part)),
+                        pa.array(texts, pa.binary()).cast(pa.string()),
+                        pa.array(part),
+                        pa.array(part >= least),
+                    ],
                     ["lang", "phrase", "n", "frequent"],
                 )
 

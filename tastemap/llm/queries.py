@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemap.llm import balltree, jaccard, katz, licenses, nbsvm, segments
+from tastemap.llm import balltree, jaccard, katz, licenses, nbsvm, segments, stringkernel
 from tastemap.llm.boilerplate import PAGES_SQL, drop_boilerplate, page_lines
 from tastemap.llm.common import crc_fold
 from tastemap.llm.decontaminate import report
@@ -83,6 +83,23 @@ def op10_balltree(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+#: Score from which a document counts as toxic.
+TOXIC = 0.5
+
+
+def op11_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents").select("doc_id", "text")
+    labels = table(spark, directory, "labels").select("doc_id", F.col("toxic").alias("quality"))
+    held_out = crc_fold("doc_id", 5) == 0
+    model = stringkernel.train(nbsvm.labelled_sample(documents, labels, held_out))
+    return stringkernel.score(documents, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 def op12_phrases(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
     return collocations(documents, support=10, longest=3, top=2000, covered=50)
@@ -103,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_balltree": op10_balltree,
+    "op11_toxicity": op11_toxicity,
     "op12_phrases": op12_phrases,
     "op13_whitening": op13_whitening,
 }
