@@ -3,16 +3,17 @@
 The kernel of two strings sums, over all subsequences of ``LENGTH`` letters that both
 hold within ``LENGTH + GAPS`` signs, ``DECAY`` to the power of the two stretches; it is
 divided by the strings' norms. Both ends of a string count as letters. Signs that are no
-letters are part of no subsequence and only stretch it, so marks, digits or blanks put
-into a word leave it near its plain form, and so does a letter more or less.
+letters are left out, so marks, digits or blanks put into a word change nothing, and a
+letter more or less leaves it near its plain form.
 
 A text is judged by its spans: its lower-case words, and runs of three or more words
-of one sign each (words that are spelled out). It is as toxic as the most toxic one.
+of one letter each (words that are spelled out). It is as toxic as the most toxic one.
 Labels belong to whole texts or sentences, so training looks for the spans that they
-are about: first, in each toxic text, the span with the largest log ratio of toxic to
-other texts; then, in a second round, the one with the largest margin. Spans of other
-texts are the other class: a bounded draw by hash, and in the second round those of
-the largest margins.
+are about: all spans that are more frequent in toxic texts than chance allows among so
+many, and, of each toxic text without such a span, the one with the largest log ratio
+of toxic to other texts, and in a second round the one with the largest margin. Spans
+of other texts are the other class: a bounded draw by hash, and in the second round
+those of the largest margins.
 
 The landmarks are the spans with the largest ratios and spans drawn from other texts.
 Kernel values at the landmarks, made orthonormal by the landmarks' own kernel matrix
@@ -38,65 +39,58 @@ from pyspark.sql import functions as F
 from tastemap.llm.common import keep, mix, pieces_of
 from tastemap.llm.nbsvm import sigmoid_fit
 
-LENGTH, GAPS, DECAY = 3, 3, 0.5
+LENGTH, GAPS, DECAY = 4, 2, 0.5
 #: Longer spans are looked at in windows of so many signs, half a window apart.
 WINDOW = 32
 #: Landmarks, half of each kind.
-LANDMARKS = 256
+LANDMARKS = 512
 #: Spans of texts that are not toxic, of each kind, that a round is fitted on at most.
 OTHERS = 15_000
-COST = 1.0
-
-_SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+#: Cost of a margin that is missed, over all spans of a class.
+COST = 5_000.0
+#: Margin of a span that is like no landmark.
+UNLIKE = -1.0
+#: Margins beyond it, well above the loss's aim of 1, say no more.
+MOST = 2.0
+
+_SPELLED = re.compile(r"(?<!\S)[^\w\s]*\w[^\w\s]*(?:\s+[^\w\s]*\w[^\w\s]*){2,}(?!\S)")
 #: Both ends of a span; blanks, so that no span holds them itself.
 _FIRST, _LAST = "\n", "\r"
 
 
 def spans(text: str) -> set[str]:
-    """The distinct spans of a text, without marks at their ends."""
+    """The distinct spans of a text, their letters only."""
     text = text.lower()
     found = set()
-    for word in itertools.chain(set(text.split()), _SPELLED.findall(text)):
+    for word in set(text.split()).union(_SPELLED.findall(text)):
         if not word.isalpha():
-            if " " in word or len(word) > 2 and not word.isprintable():
-                word = " ".join(word.split())
-            a, b = 0, len(word)
-            while a < b and not word[a].isalpha():
-                a += 1
-            while a < b and not word[b - 1].isalpha():
-                b -= 1
-            word = word[a:b]
+            word = "".join(filter(str.isalpha, word))
         if len(word) <= WINDOW:
-            if len(word) > 1:
-                found.add(word)
+            found.add(word)
         else:
             step = WINDOW // 2
             found.update(word[i : i + WINDOW] for i in range(0, len(word) - step, step))
+    found.discard("")
     return found
 
 
 def subsequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(span, key, weight), each key of a span once, sorted by span; and the spans' norms
-    are the roots of the sums of squared weights."""
-    width = max(map(len, texts), default=0) + 2
-    raw = "".join((_FIRST + t + _LAST).ljust(width, "\0") for t in texts)
-    code = np.frombuffer(raw.encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(len(texts), width)
-    found, place = np.unique(code, return_inverse=True)
-    letters = np.array([c.isalpha() or c in (_FIRST, _LAST) for c in map(chr, found.tolist())], bool)
-    code = np.where(letters, found, np.uint64(0))[place].reshape(code.shape)
+    """(span, key, weight), each key of a span once, sorted by span. A key is exact for
+    letters of the basic plane, 16 bits each; rarer ones share keys."""
+    width = max(max(map(len, texts), default=0) + 2, LENGTH + GAPS)
+    raw = "".join([(_FIRST + t + _LAST).ljust(width, "\0") for t in texts])
+    code = np.frombuffer(raw.encode("utf-32-le"), np.uint32).reshape(len(texts), width)
+    code = (code & np.uint32(0xFFFF)).astype(np.uint64)
     rows, keys, weights = [], [], []
     for places in itertools.combinations(range(1, LENGTH + GAPS), LENGTH - 1):
         size = width - places[-1]
-        if size <= 0:
-            continue
-        key, full = code[:, :size], code[:, :size] != 0
+        key = code[:, :size]
         for p in places:
-            sign = code[:, p : p + size]
-            key, full = key << np.uint64(21) | sign, full & (sign != 0)
-        at, _ = np.nonzero(full)
-        rows.append(at)
+            key = key << np.uint64(16) | code[:, p : p + size]
+        full = code[:, places[-1] :] != 0  # the span goes on to the last letter
+        rows.append(np.nonzero(full)[0])
         keys.append(key[full])
-        weights.append(np.full(len(at), DECAY ** (places[-1] + 1)))
+        weights.append(np.full(len(keys[-1]), DECAY ** (places[-1] + 1)))
     row, key, weight = map(np.concatenate, (rows, keys, weights))
     # Repeated subsequences of a span add up.
     both = mix(key) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -147,36 +141,34 @@ def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, len(keys))
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and constant of the least |w|^2 / 2 + sum of cost max(0, 1 - y f)^2."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    keep_small = np.append(np.ones(x.shape[1] - 1), 1e-6)
+def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The w of the least |w|^2 / 2 + sum of cost max(0, 1 - y f)^2 for f = x w + ``UNLIKE``."""
     w = np.zeros(x.shape[1])
-    loss = lambda w: keep_small @ (w * w) / 2 + cost @ np.maximum(0, 1 - y * (x @ w)) ** 2
+    loss = lambda w: w @ w / 2 + cost @ np.maximum(0, 1 - y * (x @ w + UNLIKE)) ** 2
     for _ in range(50):
-        short = 1 - y * (x @ w)
+        short = 1 - y * (x @ w + UNLIKE)
         on = short > 0
-        gradient = keep_small * w - 2 * x[on].T @ (cost[on] * y[on] * short[on])
-        hessian = np.diag(keep_small) + 2 * (x[on].T * cost[on]) @ x[on]
+        gradient = w - 2 * x[on].T @ (cost[on] * y[on] * short[on])
+        hessian = np.eye(len(w)) + 2 * (x[on].T * cost[on]) @ x[on]
         step, now, size = np.linalg.solve(hessian, gradient), loss(w), 1.0
         while size > 1e-6 and loss(w - size * step) > now - 1e-4 * size * (gradient @ step):
             size /= 2
         w = w - size * step
-        if np.abs(size * step).max() < 1e-8:
+        if np.abs(size * step).max(initial=0) < 1e-8:
             break
-    return w[:-1], float(w[-1])
+    return w
 
 
 class Model:
     """A weight for each subsequence, and the sigmoid."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, constant: float, a: float = 1.0, b: float = 0.0):
-        self.keys, self.weights, self.constant, self.a, self.b = keys, weights, constant, a, b
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, a: float = 1.0, b: float = 0.0):
+        self.keys, self.weights, self.a, self.b = keys, weights, a, b
         self.known: dict[str, float] = {}
 
     @classmethod
-    def folded(cls, landmarks: Landmarks, w: np.ndarray, constant: float) -> Model:
-        return cls(landmarks.keys, np.append((landmarks.table[:-1] @ (landmarks.root @ w)), 0.0), constant)
+    def folded(cls, landmarks: Landmarks, w: np.ndarray) -> Model:
+        return cls(landmarks.keys, np.append((landmarks.table[:-1] @ (landmarks.root @ w)), 0.0))
 
     def margins(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -187,38 +179,38 @@ class Model:
             row, key, weight = subsequences([texts[i] for i in part])
             value = np.bincount(row, weight * self.weights[_places(self.keys, key)], minlength=len(part))
             out[part] = value / norms(len(part), row, weight)
-        return out + self.constant
+        return out + UNLIKE
 
     def largest(self, texts: list[str | None]) -> np.ndarray:
-        """The largest margin of each text's spans; without spans, that of the constant."""
+        """The largest margin of each text's spans; ``UNLIKE`` without spans."""
         each = [spans(t or "") for t in texts]
         if len(self.known) > 300_000:
             self.known.clear()
         new = list({s for found in each for s in found if s not in self.known})
         self.known.update(zip(new, self.margins(new).tolist()))
-        return np.array([max(map(self.known.__getitem__, found), default=self.constant) for found in each])
+        return np.array([max(map(self.known.__getitem__, found), default=UNLIKE) for found in each])
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * margins + self.b, -700, 700)))
+        return 1 / (1 + np.exp(-np.clip(self.a * np.minimum(margins, MOST) + self.b, -700, 700)))
 
 
 def altered(span: str) -> list[str]:
-    """The span with marks between its letters, and with a letter more."""
-    at = 1 + xxhash.xxh64_intdigest(span) % max(1, len(span) - 1)
-    return ["-".join(span), span[:at] + span[at - 1] + span[at:], span[:at] + "*" + span[at:], span[:at] + "x" + span[at:]]
+    """The span with a letter more, at places drawn by a hash."""
+    places = [1 + xxhash.xxh64_intdigest(span, seed) % max(1, len(span) - 1) for seed in range(2)]
+    return [span[:at] + letter + span[at:] for at in places for letter in (span[at - 1], "x")]
 
 
 def fit(landmarks: Landmarks, toxic: dict[str, float], others: list[str]) -> Model:
-    """A round's model. ``toxic``: spans and their texts; both classes weigh the same."""
+    """A round's model. ``toxic``: spans and how many texts have them, of which the root
+    counts, and half as much in altered forms; both classes weigh the same."""
     texts, cost = [], []
     for span, n in toxic.items():
-        for text, part in ((span, 1.0), *((a, 0.1) for a in altered(span))):
-            texts.append(text)
-            cost.append(n * part)
+        more = altered(span)
+        texts += [span, *more]
+        cost += [n**0.5] + [n**0.5 / 2 / len(more)] * len(more)
     y = np.repeat([1.0, -1.0], [len(texts), len(others)])
-    share = np.concatenate([np.array(cost) / sum(cost), np.full(len(others), 1 / len(others))])
-    w, constant = squared_hinge(landmarks.features(texts + others), y, COST * 2000 * share)
-    return Model.folded(landmarks, w, constant)
+    share = np.concatenate([np.array(cost) / sum(cost), np.full(len(others), 1 / max(1, len(others)))])
+    return Model.folded(landmarks, squared_hinge(landmarks.features(texts + others), y, COST * share))
 
 
 def _exploded(labelled: DataFrame) -> DataFrame:
@@ -269,32 +261,43 @@ def train(labelled: DataFrame) -> Model:
     if len(sizes) < 2:
         n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
         share = (n.get(1, 0) + 1) / (sum(n.values()) + 3)
-        return Model(np.zeros(0, np.uint64), np.zeros(1), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return Model(np.zeros(0, np.uint64), np.zeros(1), 0.0, float(np.log(share / (1 - share))))
     counts = fitted.groupBy("span").agg(
-        F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other")
+        F.sum("label").cast("double").alias("toxic"), F.sum(1 - F.col("label")).cast("double").alias("other")
     )
     ratio = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("other") + 0.5) / (sizes[0] + 1.0))
-    counts = keep(counts.withColumn("ratio", ratio), "counts")
+    # The divergence of the span's share of toxic texts from that of all texts.
+    usual = sizes[1] / (sizes[0] + sizes[1])
+    part = lambda n, q: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (F.col("toxic") + F.col("other")) / q)).otherwise(0.0)
+    counts = counts.withColumn("ratio", ratio).withColumn("more", part("toxic", usual) + part("other", 1 - usual))
+    counts = keep(counts, "counts")
+    sure = (F.col("ratio") > 0) & (F.col("more") > float(np.log(counts.count() + 1)))
     drawn = F.xxhash64("span", F.lit(6))
-    others = counts.where("other > 0")
+    others = counts.where((F.col("other") > 0) & ~sure)
     some = [r["span"] for r in others.orderBy(drawn, "span").limit(OTHERS).collect()]
-    leading = counts.where("toxic > 1").orderBy(F.desc("ratio"), "span").limit(LANDMARKS // 2).collect()
-    landmarks = Landmarks(list(dict.fromkeys([r["span"] for r in leading] + some[: LANDMARKS // 2])))
+    leading = counts.where(sure).orderBy(F.desc("more"), "span").limit(OTHERS).collect()
+    known = {r["span"]: r["toxic"] for r in leading}
+    rest = counts.where(~sure & (F.col("toxic") > 1)).orderBy(F.desc("ratio"), "span").limit(LANDMARKS // 2).collect()
+    marks = list(dict.fromkeys([*known, *(r["span"] for r in rest)]))[: LANDMARKS // 2]
+    landmarks = Landmarks(list(dict.fromkeys(marks + some[: LANDMARKS // 2])))
+    toxic_rows = fitted.where("label = 1").join(counts.select("span", "ratio", sure.alias("sure")), "span")
+    toxic_rows = toxic_rows.withColumn("known", F.max("sure").over(W.partitionBy("doc_id"))).where("NOT known")
+    toxic_rows = keep(toxic_rows.select("doc_id", "span", "ratio"), "unexplained")
 
     def most(rows: DataFrame, value: str) -> dict[str, float]:
-        """The toxic texts' spans of the largest ``value``, and of how many texts."""
+        """Known spans, and the other toxic texts' of the largest ``value``; and of how
+        many texts."""
         place = W.partitionBy("doc_id").orderBy(F.desc(value), "span")
-        first = rows.where("label = 1").withColumn("place", F.row_number().over(place)).where("place = 1")
-        return {r["span"]: float(r["count"]) for r in first.groupBy("span").count().orderBy("span").collect()}
+        first = rows.withColumn("place", F.row_number().over(place)).where("place = 1")
+        return known | {r["span"]: float(r["count"]) for r in first.groupBy("span").count().orderBy("span").collect()}
 
-    model = fit(landmarks, most(fitted.join(counts.select("span", "ratio"), "span"), "ratio"), some)
+    model = fit(landmarks, most(toxic_rows, "ratio"), some)
     hard = _margins(others.select("span"), model).orderBy(F.desc("margin"), "span").limit(OTHERS).collect()
-    toxic = most(_margins(fitted.where("label = 1"), model), "margin")
-    more = dict.fromkeys([r["span"] for r in hard] + some)
-    model = fit(landmarks, toxic, list(more))
+    toxic = most(_margins(toxic_rows, model), "margin")
+    model = fit(landmarks, toxic, [s for s in dict.fromkeys([r["span"] for r in hard] + some) if s not in toxic])
     final = _margins(judged, model).groupBy("doc_id", "label").agg(F.max("margin").alias("margin")).collect()
     labels = np.array([2 * r["label"] - 1 for r in final])
-    model.a, model.b = sigmoid_fit(np.array([r["margin"] for r in final]), labels)
+    model.a, model.b = sigmoid_fit(np.minimum([r["margin"] for r in final], MOST), labels)
     return model
 
 
