@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
 A line is boilerplate of a host if it stands on more than ``ratio`` of the host's
-pages, and on ``least`` pages at least, so that a host of a few pages keeps them.
+pages, and on ``least`` pages at least: a line of a single page repeats nothing. On
+hosts of any size that repeat a line the ratio alone decides.
 Lines are counted by hashes, once per page, and combined in each task before they
 move, so neither a hot host nor a hot line meets in one task. As each boilerplate
 line takes more than ``ratio`` of the pages, a host has at most its mean number of
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tastemap.llm.common import keep
 
-RATIO, LEAST = 0.1, 5
+RATIO, LEAST = 0.1, 2
 
 
 def _key(line):

@@ -43,6 +43,20 @@ def test_equals_counting(spark, ratio, least):
     assert rows == brute(ROWS, ratio, least)
 
 
+@pytest.mark.parametrize("pages", [3, 10, 49, 50, 120])
+def test_the_ratio_decides_on_hosts_of_any_size(spark, pages):
+    """A line on a tenth of the pages stays, one on a page more goes."""
+    tenth = pages // 10
+    rows = []
+    for i in range(pages):
+        lines = [f"own {i}"] + ["often"] * (i <= max(1, tenth)) + ["seldom"] * (i < tenth) + ["menu"]
+        rows.append((i, "\n".join(lines), "h"))
+    got = drop_boilerplate(documents(spark, rows))
+    left = "\n".join(r.text for r in got.collect()).split("\n")
+    assert "menu" not in left and "often" not in left
+    assert left.count("seldom") == tenth and sum(x.startswith("own") for x in left) == pages
+
+
 def test_no_rows(spark):
     assert drop_boilerplate(documents(spark, [])).collect() == []
 
@@ -52,10 +66,11 @@ def test_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_query_equals_sql(spark):
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_query_equals_sql(spark, scale):
     from tastemap.llm import ORACLE_SQL, QUERIES
 
-    directory = f"{DATA}/sf0.1"
+    directory = f"{DATA}/{scale}"
     got = QUERIES["op7_boilerplate"](spark, directory).toArrow().to_pylist()
     with duckdb.connect() as c:
         c.execute(f"CREATE VIEW pages AS FROM '{directory}/pages.parquet'")
