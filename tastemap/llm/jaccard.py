@@ -18,12 +18,21 @@ light sets that are large enough to link with a heavy one post to the lists, too
 ``boundary`` is the size (64 at most) up to which a set has no more subsets than postings and
 expected meetings in the lists together, as measured on the sample.
 
-Lists of one set go. In the others, sets are compared in rounds: one set of each
-list with all that are not in its component yet, then the components are found
-anew. When few pairs are left or that stops paying, all pairs of different components
-that meet in a list and pass the size and position bounds are compared. No pair
-within a component needs a comparison, so large groups of near copies cost about
-one each.
+Lists of one set go. In the others, sets are compared in rounds: a hub of each list
+with all that are not in its component; then the hub leaves the list, components are
+found anew, and lists of one component go, so that a large group of near copies costs
+about a comparison for each member.
+
+Lists that are still open after ``ROUNDS`` hubs are keyed anew, by what sets apart
+rather than by what they share. For any set h, the symmetric differences D = A ^ h have
+A ^ B = D(A) ^ D(B), so sets are linked where their differences share enough. The
+lists of one hub are a cluster, and its h holds what most of some of its members have.
+Members whose differences are small enough together are linked for certain, without a
+comparison; every other pair has to share a shingle of D(A) and D(B), so each member
+posts the first shingles of its difference, as many as its best possible partner in
+the cluster asks for. The new lists are compared in rounds again, and so on until no
+list is open. No list is compared pair by pair, and no pair is left out: h may be any
+set, it only steers the work.
 
 A comparison first takes the sets' sketches, of two bits for each shingle: a bit is
 the parity of the shingles in its bucket, so each bit that differs stands for one
@@ -52,9 +61,12 @@ PERCENT = 75
 SAMPLED = 8
 #: Shingles that are ordered by their frequency in the sample, at most.
 FREQUENT = 200_000
-#: Pairs for each list entry that are few enough to be compared at once, after a round
-#: of one set of each list with the others.
-FEW = 1
+#: Hubs that a list is compared with before it is keyed anew.
+ROUNDS = 3
+#: Members of a cluster whose common shingles are its h.
+CORE = 16
+#: Parts that the rows of one component are joined in.
+PARTS = 16
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -104,46 +116,65 @@ class Order:
         return found[np.lexsort((found, count))[:n]]
 
 
-def keys(found: np.ndarray, order: Order, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that the set posts, and its place of each in the order (0 for subsets)."""
+def keys(found: np.ndarray, order: Order, boundary: int, percent: int) -> tuple[np.ndarray, int]:
+    """Keys that the set posts, and how many of them, at first, are shingles in order;
+    the others are subsets."""
     n = len(found)
     first = order.first(found, prefix(n, percent) + 1)
-    out, places = [], []
+    out = []
     if 100 * n > percent * boundary or percent * n <= 100:  # or one in common may do
-        tokens = first[: prefix(n, percent)]
-        out.append(mix(tokens))
-        places.append(np.arange(len(tokens)))
+        out.append(mix(first[: prefix(n, percent)]))
+    tokens = sum(map(len, out))
     if n <= boundary:
         a, b = np.triu_indices(len(first), 1)
         out.append(mix(mix(first[a] ^ np.uint64(0x5851F42D4C957F2D)) ^ first[b]))
-        places.append(np.zeros(len(a), np.int64))
-    return np.concatenate(out), np.concatenate(places)
+    return np.concatenate(out), tokens
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-def digests(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, vertex, text_hash and sketch of each row; null and empty
-    texts have no shingle."""
+def digests(docs: DataFrame, order: Order, boundary: int, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, vertex, text_hash and sketch of each row, with the keys that
+    its set posts, of which the first ``tokens`` are in order; null and empty texts have
+    no shingle. Of equal sets of one task, the first has the keys."""
+    sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, 1000):
+        seen: set[int] = set()
+        for batch in pieces_of(batches, 500):
             sets = [shingles(text, size) for text in utf8(batch.column("text"))]
+            vertices = [vertex(s) for s in sets]
+            posted, tokens = [], []
+            for found, v in zip(sets, vertices):
+                if not len(found) or v in seen:
+                    posted.append(None)
+                    tokens.append(0)
+                    continue
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                seen.add(v)
+                key, n = keys(found, sent.value, boundary, percent)
+                posted.append(_signed(key))
+                tokens.append(n)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([vertex(s) for s in sets], pa.int64()),
+                    pa.array(vertices, pa.int64()),
                     batch.column("text_hash"),
                     pa.array([sketch(s) for s in sets], pa.binary()),
+                    pa.array(posted, pa.list_(pa.int64())),
+                    pa.array(tokens, pa.int32()),
                 ],
-                ["doc_id", "n_shingles", "vertex", "text_hash", "sketch"],
+                ["doc_id", "n_shingles", "vertex", "text_hash", "sketch", "keys", "tokens"],
             )
 
     return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, vertex bigint, text_hash bigint, sketch binary"
+        run,
+        "doc_id bigint, n_shingles bigint, vertex bigint, text_hash bigint, sketch binary, "
+        "keys array<bigint>, tokens int",
     )
 
 
@@ -174,36 +205,13 @@ def sample(docs: DataFrame, size: int, percent: int) -> tuple[Order, int]:
     return order, boundary
 
 
-def lists(docs: DataFrame, order: Order, boundary: int, size: int, percent: int) -> DataFrame:
-    """key, vertex, n, place of all keys under which several vertices meet."""
-    sent = docs.sparkSession.sparkContext.broadcast(order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in pieces_of(batches, 500):
-            parts = []
-            for text in utf8(batch.column("text")):
-                found = shingles(text, size)
-                v = vertex(found)
-                if not len(found) or v in seen:
-                    continue
-                if len(seen) >= 1_000_000:
-                    seen.clear()
-                seen.add(v)
-                key, place = keys(found, sent.value, boundary, percent)
-                parts.append((_signed(key), np.full(len(key), v), np.full(len(key), len(found)), place))
-            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "vertex", "n", "place"]
-            )
-
-    posted = docs.select("text").mapInArrow(run, "key bigint, vertex bigint, n int, place int")
-    # One shuffle: the distinct rows and the counts keep the partitioning by key.
+def _shared(posted: DataFrame) -> DataFrame:
+    """Of (key, vertex, n, size, place), each vertex of a key once, and only keys under
+    which several meet. One shuffle: all steps keep the partitioning by key."""
     by_key = W.partitionBy("key")
     return (
         posted.repartition("key")
-        .groupBy("key", "vertex", "n")
+        .groupBy("key", "vertex", "n", "size")
         .agg(F.min("place").alias("place"))
         .withColumn("members", F.count(F.lit(1)).over(by_key))
         .where("members > 1")
@@ -211,37 +219,111 @@ def lists(docs: DataFrame, order: Order, boundary: int, size: int, percent: int)
     )
 
 
+def lists(digest: DataFrame) -> DataFrame:
+    """key, vertex, n, size, place of all keys under which several vertices meet.
+
+    ``size``: shingles of the set that the keys are taken from, here all ``n`` of the
+    vertex; ``place``: the key's place among them, in an order for all.
+    """
+    posted = digest.where("keys IS NOT NULL").select(
+        "vertex", F.col("n_shingles").cast("int").alias("n"), "tokens", F.posexplode("keys").alias("at", "key")
+    )
+    place = F.when(F.col("at") < F.col("tokens"), F.col("at")).otherwise(0)
+    return _shared(posted.select("key", "vertex", "n", F.col("n").alias("size"), place.alias("place")))
+
+
 def near(a: str, b: str, percent: int):
     """The size and position bounds of two members of a list."""
-    n, m = F.col(f"{a}.n").cast("bigint"), F.col(f"{b}.n").cast("bigint")
-    left = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
+    of = lambda end, c: F.col(f"{end}.{c}").cast("bigint")
+    n, m, s, t = of(a, "n"), of(b, "n"), of(a, "size"), of(b, "size")
+    left = F.least(s - of(a, "place"), t - of(b, "place"))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
-        (100 + percent) * left >= percent * (n + m)
+        2 * (100 + percent) * left >= (100 + percent) * (s + t) - (100 - percent) * (n + m)
     )
 
 
-def star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """In each list, one member with all those of other components."""
-    pick = F.struct(F.xxhash64("vertex", F.lit(turn)), "vertex", "component", "n", "place")
+def star(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """In each list, pairs of a hub with all members of other components; and the lists
+    without their hubs.
+
+    The hub has the smallest hash, so lists of the same members have the same one.
+    """
+    pick = F.struct(F.xxhash64("vertex"), "vertex", "component", "n", "size", "place")
     hubs = members.groupBy("key").agg(F.min(pick).alias("hub")).select("key", "hub.*")
     a, b = hubs.alias("a"), members.alias("b")
-    return (
-        b.join(a, F.col("a.key") == F.col("b.key"))
-        .where((F.col("a.component") != F.col("b.component")) & near("a", "b", percent))
-        .select(F.col("a.vertex").alias("a"), F.col("b.vertex").alias("b"))
-        .distinct()
-    )
+    both = b.join(a, F.col("a.key") == F.col("b.key")).where(F.col("a.vertex") != F.col("b.vertex"))
+    pairs = both.where((F.col("a.component") != F.col("b.component")) & near("a", "b", percent))
+    rest = both.select("b.key", "b.vertex", "b.n", "b.size", "b.place")
+    return pairs.select(F.col("a.vertex").alias("a"), F.col("b.vertex").alias("b")).distinct(), rest
 
 
-def all_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of different components that pass the bounds."""
-    a, b = members.alias("a"), members.alias("b")
-    return (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.vertex") < F.col("b.vertex")))
-        .where((F.col("a.component") != F.col("b.component")) & near("a", "b", percent))
-        .select(F.col("a.vertex").alias("a"), F.col("b.vertex").alias("b"))
-        .distinct()
+def cores(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, core: the shingles that most of ``CORE`` members of each cluster have."""
+
+    def run(group: pa.Table) -> pa.Table:
+        value, count = np.unique(
+            np.concatenate([np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]), return_counts=True
+        )
+        core = value[2 * count > group.num_rows].tobytes()
+        return pa.table({"hub": group["hub"][:1], "core": pa.array([core], pa.binary())})
+
+    place = F.row_number().over(W.partitionBy("hub").orderBy(F.xxhash64("vertex", "hub"), "vertex"))
+    some = rows.withColumn("at", place).where(F.col("at") <= CORE).select("hub", "vertex")
+    return some.join(sets, "vertex").select("hub", "shingles").groupBy("hub").applyInArrow(run, "hub bigint, core binary")
+
+
+def differences(rows: DataFrame, sets: DataFrame, core: DataFrame, order: Order) -> DataFrame:
+    """hub, vertex, n, apart: the shingles in which each member differs from its core,
+    as keys, in an order for all of the cluster."""
+    sent = rows.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, 500):
+            apart = []
+            for x, y in zip(batch.column("shingles").to_pylist(), batch.column("core").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                more = np.setdiff1d(x, y, assume_unique=True)
+                less = np.setdiff1d(y, x, assume_unique=True)
+                more = sent.value.first(more, len(more))
+                apart.append(_signed(np.concatenate([mix(more), mix(less ^ np.uint64(0x2545F4914F6CDD1D))])))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("hub", "vertex", "n")), pa.array(apart, pa.list_(pa.int64()))],
+                ["hub", "vertex", "n", "apart"],
+            )
+
+    joined = rows.join(sets, "vertex").join(core, "hub").select("hub", "vertex", "n", "shingles", "core")
+    return joined.mapInArrow(run, "hub bigint, vertex bigint, n int, apart array<bigint>")
+
+
+def rekeyed(members: DataFrame, sets: DataFrame, order: Order, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists of what sets members of a cluster apart, and the links that are certain.
+
+    ``spare`` of a member is what its size allows less its difference. Two members with a
+    sum of 0 or more are linked; of a linked pair with a sum below 0 the differences
+    share ``-sum / (2 (100 + percent))`` shingles at least. So with the best partner
+    that may still need it, the first ``size - share + 1`` shingles are enough to meet.
+    """
+    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("vertex"), "vertex")).alias("hub"))
+    rows = members.join(hubs, "key").select(F.col("hub.vertex").alias("hub"), "vertex", "n").distinct()
+    rows = keep(rows, "clusters")
+    apart = differences(rows, sets, keep(cores(rows, sets), "cores"), order)
+    spare = (100 - percent) * F.col("n").cast("bigint") - (100 + percent) * F.col("size")
+    apart = keep(apart.withColumn("size", F.size("apart")).withColumn("spare", spare), "apart")
+    best = apart.groupBy("hub").agg(F.max(F.struct("spare", "vertex")).alias("best"))
+    marked = apart.join(best, "hub").withColumn("far", F.col("spare") + F.col("best.spare") < 0)
+    certain = marked.where(~F.col("far") & (F.col("vertex") != F.col("best.vertex"))).select(
+        F.col("best.vertex").alias("a"), F.col("vertex").alias("b")
     )
+    # Clusters without far members are one component each.
+    far = marked.where("far").groupBy("hub").agg(F.max("spare").alias("far_spare"))
+    marked = marked.join(far, "hub")
+    other = F.when(F.col("far"), F.col("best.spare")).otherwise(F.col("far_spare"))
+    share = F.ceil(-(F.col("spare") + other) / (2 * (100 + percent)))
+    first = (F.col("size") - share + 1).cast("int")
+    posted = marked.withColumn("first", first).where("first > 0")
+    posted = posted.select("hub", "vertex", "n", "size", F.posexplode(F.slice("apart", 1, F.col("first"))).alias("place", "key"))
+    posted = posted.withColumn("key", F.xxhash64("hub", "key"))
+    return _shared(posted.select("key", "vertex", "n", "size", "place")), certain
 
 
 def _compared(pairs: DataFrame, facts: DataFrame, passes) -> DataFrame:
@@ -313,6 +395,43 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.drop("old")
 
 
+def _in_parts(rows: DataFrame, few: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, which has one row for each value of ``column``; rows
+    of one value are dealt over ``PARTS`` parts."""
+    part = F.pmod(F.xxhash64("vertex", F.lit(8)), F.lit(PARTS)).cast("int")
+    every = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", part).join(every, [column, "part"], how).drop("part")
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``labels`` (vertex, component) with ``links`` (a, b) added."""
+    if labels is None:
+        return None if links.isEmpty() else components(links)
+    of = lambda end, name: labels.select(F.col("vertex").alias(end), F.col("component").alias(name))
+    ends = links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    ends = ends.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
+    ends = keep(ends, "joining")
+    if ends.isEmpty():
+        return labels
+    more = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    more = more.select(F.col("vertex").alias("component"), F.col("component").alias("next"))
+    new = ends.select(F.col("a").alias("vertex"), F.col("x").alias("component"))
+    new = new.union(ends.select("b", "y")).where("vertex = component").distinct()
+    every = labels.unionByName(new.join(labels.select("vertex"), "vertex", "left_anti"))
+    moved = _in_parts(every, more, "component", "left")
+    return keep(moved.select("vertex", F.coalesce("next", "component").alias("component")), "components")
+
+
+def opened(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The lists of several components, with each member's component."""
+    if labels is None:
+        now = members.withColumn("component", F.col("vertex"))
+    else:
+        now = members.join(labels, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return keep(now.join(several.where("x <> y").select("key"), "key", "left_semi"), "members")
+
+
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``.
 
@@ -329,10 +448,10 @@ def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, text_hash, root and component_id of each row; rows without
     shingles share a root, which says nothing about them."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    digest = keep(digests(docs, size), "digests")
     order, boundary = sample(docs, size, percent)
+    digest = keep(digests(docs, order, boundary, size, percent), "digests")
     path = scratch(docs.sparkSession, "lists")
-    members = write(lists(docs, order, boundary, size, percent), path)
+    members = write(lists(digest), path)
     # One document of each member.
     vertices = keep(
         digest.join(members.select("vertex").distinct(), "vertex", "left_semi")
@@ -340,50 +459,44 @@ def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
         "vertices",
     )
-    digest = digest.drop("sketch")
-    rows = members.count()
+    digest = digest.select("doc_id", "n_shingles", "vertex", "text_hash")
     sets = None
 
-    def links_of(pairs: DataFrame) -> DataFrame:
+    def fetched(wanted: DataFrame) -> DataFrame:
+        """The sets of all vertices so far, and those of ``wanted``."""
         nonlocal sets
-        passed = keep(likely(keep(pairs, "pairs"), vertices, percent), "likely")
-        ends = passed.select(F.col("a").alias("vertex")).union(passed.select("b")).distinct()
         if sets is not None:
-            ends = ends.join(sets.select("vertex"), "vertex", "left_anti")
-        ends = keep(ends, "ends")
-        ids = keep(vertices.join(ends, "vertex").select("doc_id").distinct(), "wanted")
+            wanted = wanted.join(sets.select("vertex"), "vertex", "left_anti")
+        wanted = keep(wanted, "wanted")
+        ids = vertices.join(wanted, "vertex").select("doc_id").distinct()
         some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-        more = _sets(some, size).join(ends, "vertex", "left_semi").dropDuplicates(["vertex"])
-        more = keep(more, "sets")
+        more = keep(_sets(some, size).join(wanted, "vertex", "left_semi").dropDuplicates(["vertex"]), "sets")
         sets = more if sets is None else sets.unionByName(more)
-        return keep(linked(passed, sets, percent), "linked")
-
-    links = None
-    now = members.withColumn("component", F.col("vertex"))
-    before = math.inf
-    for turn in itertools.count():
-        # Pairs of members of different components, at most, over all lists.
-        sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        sizes = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        open_pairs = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
-        if not open_pairs:
-            break
-        last = turn > 0 and (open_pairs > 0.7 * before or open_pairs < FEW * rows)
-        more = links_of(all_pairs(now, percent) if last else star_pairs(now, turn, percent))
-        links = more if links is None else links.unionByName(more)
-        labels = components(links)
-        if last:
+        return sets
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        passed = keep(likely(keep(pairs, "pairs"), vertices, percent), "likely")
+        ends = passed.select(F.col("a").alias("vertex")).union(passed.select("b")).distinct()
+        return keep(linked(passed, fetched(ends), percent), "linked")
+
+    labels = None
+    for turn in itertools.count(1):
+        now = opened(members, labels)
+        if now.isEmpty():
             break
-        before = open_pairs
-        now = members.join(labels, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-        # Lists of one component are done for good.
-        several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        now = keep(now.join(several.where("x <> y").select("key"), "key", "left_semi"), "members")
+        if turn % (ROUNDS + 1):
+            pairs, members = star(now, percent)
+            labels = merged(labels, compared(pairs))
+        else:
+            known = fetched(now.select("vertex").distinct())
+            members, certain = rekeyed(now, known, order, percent)
+            labels = merged(labels, certain)
+            members = keep(members, "lists")
     smallest = digest.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
-    if links is not None:
+    if labels is not None:
         smallest = smallest.join(labels, "vertex", "left").withColumn("root", F.coalesce("component", "vertex"))
         groups = smallest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        found = smallest.select("vertex", "root").join(groups, "root").select("vertex", "root", "component_id")
+        found = _in_parts(smallest.select("vertex", "root"), groups, "root").select("vertex", "root", "component_id")
     else:
         found = smallest.select("vertex", F.col("vertex").alias("root"), F.col("doc_id").alias("component_id"))
     found = keep(found, "components")

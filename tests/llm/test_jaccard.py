@@ -95,13 +95,52 @@ def test_many_rounds_of_a_large_group(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     rows += [(300 + i, " ".join(base[:60] + [f"y{i}_{j}" for j in range(60)])) for i in range(60)]
     calls = []
-    whole = jaccard.star_pairs
-    monkeypatch.setattr(jaccard, "star_pairs", lambda *a: calls.append(1) or whole(*a))
-    monkeypatch.setattr(jaccard, "FEW", 0)
+    whole = jaccard.rekeyed
+    monkeypatch.setattr(jaccard, "rekeyed", lambda *a: calls.append(1) or whole(*a))
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "CORE", 5)
     assert as_rows(jaccard.join(documents(spark, rows))) == brute(rows)
     assert calls
 
 
+def edited_copies(n, seed=6):
+    """Copies of one text with two words replaced: most pairs are just not linked."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in r.sample(range(120), 2):
+            words[at] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_compared_pairs_grow_with_the_rows(spark, monkeypatch):
+    counts = {}
+    for n in (300, 1500):
+        found = []
+        whole = jaccard.likely
+        monkeypatch.setattr(jaccard, "likely", lambda pairs, *a: found.append(pairs.count()) or whole(pairs, *a))
+        rows = edited_copies(n)
+        got = as_rows(jaccard.join(documents(spark, rows)))
+        monkeypatch.setattr(jaccard, "likely", whole)
+        assert got == brute(rows)
+        counts[n] = sum(found)
+    assert counts[1500] <= 8 * counts[300], counts
+
+
+def test_differences_find_all_links(spark, monkeypatch):
+    """Keyed anew at once, before any hub: unequal sizes, groups that overlap."""
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "CORE", 3)
+    turns = iter([0] + [1] * 50)  # the first list is keyed anew, later ones have hubs, too
+    whole = jaccard.opened
+    monkeypatch.setattr(jaccard, "opened", lambda *a: setattr(jaccard, "ROUNDS", next(turns)) or whole(*a))
+    rows = list(enumerate(texts(150, 11, 40))) + [(1000 + i, t) for i, t in edited_copies(60)]
+    assert as_rows(jaccard.join(documents(spark, rows))) == brute(rows)
+
+
 def test_sketches_bound_the_overlap():
     rng = np.random.default_rng(8)
     for _ in range(300):
