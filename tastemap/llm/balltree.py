@@ -1,19 +1,24 @@
 """Exact inner-product search: ball-tree branch and bound in shards.
 
-Rows are dealt into shards by a hash, and each shard has a ball tree. A query
-visits a shard's leaves in falling order of the bound ``q . centre + |q| radius``
-and stops where the bound is below its k-th score so far.
-
-The k-th score is shared in two rounds. First each block of queries searches one
-shard, which gives every query a k-th score that its final one cannot fall below;
-with it the block then searches all other shards. Queries meet shards in blocks of
-bounded size, so a task holds one shard and one block; what a task gives back is at
-most k rows per query.
+Rows are dealt into shards by a hash. Each shard's ball tree is built once and stored, a
+row of a table. A query visits a shard's leaves in falling order of the bound
+``q . centre + |q| radius`` and stops where the bound is below its k-th score so far.
+
+Queries go to the trees: a task reads its shard's tree and then the queries, which
+stream by in batches, so it holds one tree and one batch however many there are. The
+k-th score is shared in two rounds. First every query searches one shard, which gives
+it a k-th score that its final one cannot fall below; with it the query then searches
+all other shards. What a task gives back is at most k rows per query.
+
+Queries times shards messages are the price of an exact search; fewer, larger shards
+(``shard_rows``, as large as a task's memory allows) lower it.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tastemap.llm.common import blocks, keep
 
-#: Rows of a shard and of a block of queries, about.
-SHARD, BLOCK = 8_000, 4_000
+#: Rows of a shard, about.
+SHARD = 16_384
 LEAF = 128
 
 
@@ -107,12 +112,12 @@ class BallTree:
 
 
 def quantised(df: DataFrame, id_column: str, column: str, scale: int) -> DataFrame:
-    """id and integer vector floor(scale * x); vectors that are null, or hold a null
-    or a component that is not finite, are left out, and so are rows without id. A
+    """id and integer vector floor(scale * x); vectors that are null or empty, or hold a
+    null or a component that is not finite, are left out, and so are rows without id. A
     finite component that does not fit a long is an error."""
     x = F.transform(column, lambda v: v.cast("double"))
     fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & ((F.abs(v) < float("inf"))))
-    return df.where(F.col(id_column).isNotNull() & F.col(column).isNotNull() & fit).select(
+    return df.where(F.col(id_column).isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0) & fit).select(
         F.col(id_column).cast("bigint").alias("id"),
         F.transform(
             x,
@@ -123,88 +128,89 @@ def quantised(df: DataFrame, id_column: str, column: str, scale: int) -> DataFra
     )
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
-
-
-FOUND = "query_id bigint, block int, id bigint, score bigint"
-
-
-def _search(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """Each query's best rows of a shard."""
-    out: dict[str, list] = {"query_id": [], "block": [], "id": [], "score": []}
-    if rows.num_rows and queries.num_rows:
-        ids = rows["id"].to_numpy()
-        vectors = _matrix(rows["vector"])
-        asked = _matrix(queries["vector"])
-        # Whole numbers below 2**53 are exact in floats, whose products are faster.
-        largest = max(float(np.abs(m.astype(np.float64)).max(initial=1)) for m in (vectors, asked))
-        if largest**2 * max(1, vectors.shape[1]) < 2**50:
-            vectors, asked = vectors.astype(np.float64), asked.astype(np.float64)
-        tree = BallTree(vectors)
-        ids = ids[tree.order]
-        for query_id, block, least, query in zip(
-            queries["query_id"].to_pylist(), queries["block"].to_pylist(),
-            queries["least"].to_pylist(), asked,
-        ):
-            least = -(1 << 63) if least is None else least
-            score, at = tree.search(query, k, least, ids == query_id, ids)
-            out["query_id"] += [query_id] * len(at)
-            out["block"] += [block] * len(at)
-            out["id"] += ids[at].tolist()
-            out["score"] += [int(s) for s in score]
-    kinds = {"query_id": pa.int64(), "block": pa.int32(), "id": pa.int64(), "score": pa.int64()}
-    return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
-
-
-def top_k(
-    rows: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD, block_rows: int = BLOCK
-) -> DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+FOUND = "query_id bigint, id bigint, score bigint"
+#: Whole numbers below it are exact in floats, whose products are faster.
+_EXACT = 2.0**50
+
+
+def build(rows: pa.Table) -> pa.Table:
+    """shard and its tree, with the ids in the tree's order."""
+    vectors = _matrix(rows["vector"].combine_chunks())
+    tree = BallTree(vectors)
+    found = pickle.dumps((tree, rows["id"].to_numpy()[tree.order]), protocol=5)
+    return pa.table({"shard": rows["shard"][:1], "tree": pa.array([found], pa.binary())})
+
+
+def search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Each query's best rows of each shard. Of a shard, the row with the tree is first."""
+    tree, ids, largest = None, None, 0.0
+    for batch in batches:
+        out: tuple[list, list, list] = [], [], []
+        for row in range(batch.num_rows):
+            if (stored := batch.column("tree")[row]).is_valid:
+                tree, ids = pickle.loads(stored.as_py())
+                largest = float(np.abs(tree.vectors.astype(np.float64)).max(initial=1))
+                floats = tree.vectors.astype(np.float64)
+                continue
+            query_id, least = batch.column("query_id")[row].as_py(), batch.column("least")[row].as_py()
+            query = np.array(batch.column("vector")[row].as_py(), np.int64)
+            size = float(np.abs(query.astype(np.float64)).max(initial=1))
+            whole = tree.vectors
+            if largest * size * len(query) < _EXACT:
+                tree.vectors, query = floats, query.astype(np.float64)
+            score, at = tree.search(query, k, -(1 << 63) if least is None else least, ids == query_id, ids)
+            tree.vectors = whole
+            out[0].extend([query_id] * len(at))
+            out[1].extend(ids[at].tolist())
+            out[2].extend(int(s) for s in score)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "id", "score"])
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD) -> DataFrame:
     """query_id, rank, id, score: each query's ``k`` rows of the largest inner product.
 
     Both sides have ``id`` and ``vector`` (whole numbers, one length for all; see
     ``quantised``). A row with the query's own id is no candidate. Ties go to the
-    smaller id. Repeated ids of rows are candidates each; queries should be distinct.
-    A query without candidates has no rows.
+    smaller id. Repeated ids of rows are candidates each; of several queries with one id
+    the smallest vector is asked. A query without candidates has no rows.
     """
     sizes = rows.groupBy(F.size("vector").alias("n")).count().collect()
     if len(sizes) > 1:
         raise ValueError("vectors of several lengths")
-    n_rows = sizes[0]["count"] if sizes else 0
-    shards, n_blocks = blocks(n_rows, shard_rows), blocks(queries.count(), block_rows)
-    sharded = keep(rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int")), "shards")
-    asked = keep(
-        queries.select(
-            F.col("id").alias("query_id"),
-            "vector",
-            F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n_blocks)).cast("int").alias("block"),
-        ),
-        "queries",
-    )
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _search(left, right, k)
-
-    home = F.pmod("block", F.lit(shards))
-
-    def searched(asked: DataFrame, seed: bool) -> DataFrame:
-        """Each block's search of its home shard, or of all the others."""
-        at_home = lambda shard: shard == home if seed else shard != home
-        every = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), at_home)
-        all_blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-        left = sharded.withColumn("block", all_blocks).where(at_home(F.col("shard")))
-        right = asked.withColumn("shard", F.explode(every))
-        by = ("shard", "block")
-        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, FOUND)
-
-    first = asked.withColumn("least", F.lit(None).cast("bigint"))
-    seed = keep(searched(first, True), "seed")
+    shards = blocks(sizes[0]["count"] if sizes else 0, shard_rows)
+    dealt = rows.select("id", "vector", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int").alias("shard"))
+    trees = keep(dealt.groupBy("shard").applyInArrow(build, "shard int, tree binary"), "trees")
+    asked = keep(queries.groupBy(F.col("id").alias("query_id")).agg(F.min("vector").alias("vector")), "queries")
+    none = lambda kind: F.lit(None).cast(kind)
+    stored = trees.select(
+        "shard", none("bigint").alias("query_id"), none("bigint").alias("least"),
+        none("array<bigint>").alias("vector"), "tree",
+    )
+    home = F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(shards)).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from search(batches, k)
+
+    def searched(asked: DataFrame, first: bool) -> DataFrame:
+        """Each query's search of its home shard, or of all the others."""
+        at_home = lambda shard: shard == home if first else shard != home
+        every = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), at_home)).alias("shard")
+        sent = asked.select(every, "query_id", "least", "vector", none("binary").alias("tree"))
+        sent = sent.join(trees.select("shard"), "shard", "left_semi").select(*stored.columns)
+        both = stored.unionByName(sent).repartition(shards, "shard")
+        return both.sortWithinPartitions("shard", F.col("query_id").asc_nulls_first()).mapInArrow(run, FOUND)
+
+    seed = keep(searched(asked.withColumn("least", none("bigint")), True), "seed")
     kth = seed.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
     known = kth.select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
-    second = asked.join(known, "query_id", "left")
-    found = seed.unionByName(searched(second, False)) if shards > 1 else seed
+    found = seed
+    if shards > 1:
+        found = seed.unionByName(searched(asked.join(known, "query_id", "left"), False))
     place = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (
         found.withColumn("rank", F.row_number().over(place))

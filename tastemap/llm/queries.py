@@ -132,14 +132,16 @@ ORACLE_SQL: dict[str, str] = {
             SELECT vec_id,
                    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
             FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), queries AS (
+            SELECT vec_id, min(v) AS v FROM vectors WHERE vec_id % 50 = 0 GROUP BY vec_id
         ), ranked AS (
             SELECT q.vec_id AS query_id, r.vec_id,
                    CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score,
                    CAST(row_number() OVER (PARTITION BY q.vec_id
                         ORDER BY list_dot_product(q.v, r.v) DESC, r.vec_id) AS INTEGER) AS rank
-            FROM vectors q JOIN vectors r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id
+            FROM queries q JOIN vectors r ON q.vec_id <> r.vec_id
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,

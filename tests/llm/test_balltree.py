@@ -34,7 +34,7 @@ def search(spark, rows, k, every=5, **sizes):
     return sorted((r.query_id, r["rank"], r.id, r.score) for r in got.collect())
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 90, "block_rows": 20}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 90}])
 def test_equals_all_pairs(spark, monkeypatch, sizes):
     monkeypatch.setattr(balltree, "LEAF", 8)
     rng = np.random.default_rng(2)
@@ -47,7 +47,7 @@ def test_equals_all_pairs(spark, monkeypatch, sizes):
 
 def test_fewer_candidates_than_k(spark):
     rows = [(0, [0.5, 0.1]), (5, [0.1, 0.2]), (7, [0.3, 0.3])]
-    assert search(spark, rows, 9, shard_rows=1, block_rows=1) == brute(rows, 9, 5)
+    assert search(spark, rows, 9, shard_rows=1) == brute(rows, 9, 5)
     assert search(spark, rows[:1], 3) == []
     assert search(spark, [], 3) == []
 
@@ -99,3 +99,50 @@ def test_sql(spark):
         rows = sorted(found.fetchall())
     table = spark.read.parquet(path).collect()
     assert rows == brute([(r.vec_id, list(r.embedding)) for r in table], 5, 50)
+
+
+def test_one_tree_for_each_shard(spark, monkeypatch, tmp_path):
+    """Built once, however many queries there are."""
+    whole, log = balltree.build, str(tmp_path / "built")
+
+    def counted(rows):
+        with open(log, "a") as file:
+            file.write(f"{rows['shard'][0]}\n")
+        return whole(rows)
+
+    monkeypatch.setattr(balltree, "build", counted)
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))]
+    assert search(spark, rows, 3, every=1, shard_rows=30) == brute(rows, 3, 1)
+    built = (tmp_path / "built").read_text().split()
+    assert len(built) == len(set(built)) == 10
+
+
+def test_repeated_ids(spark):
+    """A query of several rows is asked once; rows with one id are candidates each."""
+    rows = [(0, [1.0, 0.0])] * 2 + [(i, [i / 16, 0.0]) for i in (5, 6, 7, 8, 9)]
+    got = search(spark, rows, 5, every=50)
+    assert [(i, s) for _, _, i, s in got] == [(i, i * 16 * 256) for i in (9, 8, 7, 6, 5)]
+    rows += [(0, [-1.0, 0.0]), (9, [9 / 16, 0.0])]
+    assert [(i, s) for _, _, i, s in search(spark, rows, 2, every=50)] == [(5, -5 * 16 * 256), (6, -6 * 16 * 256)]
+
+
+def test_empty_vectors_take_no_part(spark):
+    rows = [(0, [1.0]), (5, []), (7, [0.5]), (10, None)]
+    assert search(spark, rows, 3) == brute([r for r in rows if r[1]], 3, 5)
+
+
+def test_sql_says_the_same_of_repeated_ids_and_empty_vectors(spark, tmp_path):
+    import duckdb
+
+    from tastemap.llm import ORACLE_SQL, QUERIES
+
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 3)))]
+    rows += [rows[0], rows[50], (100, [-1.0, 0.5, 0.0]), (300, []), (301, None), (350, [None] * 3)]
+    frame(spark, rows).select("vec_id", "embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["op10_balltree"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert sorted(c.sql(ORACLE_SQL["op10_balltree"]).fetchall()) == got
+    assert {r[0] for r in got} == {0, 50, 100}
