@@ -3,9 +3,13 @@
 Both sides are cut into words; of each run of ``window`` words the ``K``-gram with
 the smallest hash is a fingerprint, so any shared run of ``window`` words shares a
 fingerprint. A document's fingerprints are looked up among the benchmark's, and
-each hit is extended word by word on both sides. An item of fewer than ``window``
-words has no full run; its whole word sequence is one window, and is looked up
-by the hash of that length.
+each hit is extended to the windows around it, which are looked up by their hash and
+compared word by word. An item of fewer than ``window`` words has no full run; its
+whole word sequence is one window, and is looked up by the hash of that length.
+
+Equal windows of several items are one, with a list of those items, so what a document
+costs does not depend on how many items share its passages. Lists of items are only
+joined for the documents that hold their windows, a bounded number at a time.
 
 The benchmark side is sent to the tasks in slices of bounded size, and documents
 never move: a passage that a third of the documents share costs no more than
@@ -21,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemap.llm.common import WORDS, alnum_words, blocks, ngrams, pieces_of, set_aside, utf8
+from tastemap.llm.common import WORDS, alnum_words, blocks, keep, mix, ngrams, pieces_of, set_aside, utf8
 
 K = 5
 #: Bytes of benchmark text in a slice, about; a longer single item makes its own.
 SLICE = 8_000_000
+#: Item ids that a batch of results holds, unless one document has more.
+LISTED = 200_000
 #: Columns that a scan adds.
 OWN = ("n_words", "hits", "items")
 
@@ -52,15 +58,47 @@ class Index:
         grams = ngrams(self.words, K)
         at = np.flatnonzero(chosen(grams, window))
         at = at[long[owner[at]] & (owner[at] == owner[at + K - 1])] if len(at) else at
-        order = np.argsort(grams[at], kind="stable")
-        self.marks, self.mark_at = grams[at][order], at[order]
-        #: Length: hashes in order and where they start.
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.marks = np.unique(grams[at]) if len(at) else grams[:0]
+        #: By length, the shorter ones first.
+        self.windows: list[Windows] = []
         for n in sorted(set(sizes[~long].tolist())):
-            at = self.starts[sizes == n]
-            value = np.concatenate([ngrams(self.words[i : i + n], n) for i in at])
-            order = np.argsort(value, kind="stable")
-            self.short[n] = value[order], at[order]
+            self.windows.append(Windows(self.words, self.starts[sizes == n], n, np.flatnonzero(sizes == n)))
+        if long.any():
+            first = np.flatnonzero(long[owner] & (np.arange(len(owner)) + window <= self.ends[owner]))
+            self.windows.append(Windows(self.words, first, window, owner[first]))
+
+
+class Windows:
+    """The distinct windows of ``n`` words that start at these places, and their items."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray, n: int, items: np.ndarray):
+        self.n = n
+        value, first, number = np.unique(hashed(words, starts, n), return_index=True, return_inverse=True)
+        self.value, self.start = value, starts[first]
+        pairs = np.unique(np.stack([number.reshape(-1), items]), axis=1)
+        #: items[bounds[w] : bounds[w + 1]] have window w.
+        self.items = pairs[1]
+        self.bounds = np.searchsorted(pairs[0], np.arange(len(value) + 1))
+
+    def find(self, own: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the windows of ``words`` at ``starts`` are among these; and which.
+
+        ``own``: the words that these windows were made of.
+        """
+        value = hashed(words, starts, self.n)
+        at = np.minimum(np.searchsorted(self.value, value), len(self.value) - 1)
+        same = self.value[at] == value
+        for i in range(self.n):
+            same[same] = words[starts[same] + i] == own[self.start[at[same]] + i]
+        return starts[same], at[same]
+
+
+def hashed(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each of ``starts`` on; equal to that of ``ngrams``."""
+    value = mix(words[starts] + np.uint64(n))
+    for i in range(1, n):
+        value = mix(value ^ words[starts + i])
+    return value
 
 
 def chosen(grams: np.ndarray, window: int) -> np.ndarray:
@@ -79,55 +117,37 @@ def chosen(grams: np.ndarray, window: int) -> np.ndarray:
     return found
 
 
-def lookup(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (position in values, position in the sorted table) with equal entries."""
-    first = np.searchsorted(table, values)
-    hit = np.flatnonzero(table[np.minimum(first, len(table) - 1)] == values) if len(table) else first[:0]
-    first = first[hit]
-    last = np.searchsorted(table, values[hit], side="right")
-    count = last - first
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(hit, count), np.repeat(first, count) + step
+def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def matches(index: Index, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document word, item, length) of each window that occurs.
+def matches(index: Index, words: np.ndarray, owner: np.ndarray) -> list[tuple[Windows, np.ndarray, np.ndarray]]:
+    """Of each kind of windows, the document words where one starts, and which it is.
 
     ``owner``: nondecreasing number of each word's document.
     """
-    window, found = index.window, []
-    radius = window - K
-    if len(index.marks) and len(words) >= K:
-        grams = ngrams(words, K)
-        at = np.flatnonzero(chosen(grams, window))
-        i, j = lookup(grams[at], index.marks)
-        p, q = at[i], index.mark_at[j]
-        # Equal words around the hit, within the same document and the same item.
-        reach = np.arange(-radius, window)
-        x, y = p[:, None] + reach, q[:, None] + reach
-        inside = (x >= 0) & (x < len(words)) & (y >= 0) & (y < len(index.words))
-        x, y = np.where(inside, x, 0), np.where(inside, y, 0)
-        same = (
-            inside
-            & (words[x] == index.words[y])
-            & (owner[x] == owner[p][:, None])
-            & (index.owner[y] == index.owner[q][:, None])
-        )
-        run = np.lib.stride_tricks.sliding_window_view(same, window, axis=1).all(axis=2)
-        hit, shift = np.nonzero(run)
-        found.append((p[hit] - radius + shift, index.owner[q[hit]], np.full(len(hit), window)))
-    for n, (table, starts) in index.short.items():
+    found = []
+    for windows in index.windows:
+        n = windows.n
         if len(words) < n:
             continue
-        i, j = lookup(ngrams(words, n), table)
-        y = starts[j]
-        same = owner[i] == owner[i + n - 1]
-        for k in range(n):
-            same &= words[i + k] == index.words[y + k]
-        found.append((i[same], index.owner[y[same]], np.full(int(same.sum()), n)))
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(parts) for parts in zip(*found))
+        if n < index.window:
+            starts = np.flatnonzero(among(ngrams(words, n), windows.value))
+        else:
+            grams = ngrams(words, K)
+            at = np.flatnonzero(chosen(grams, n))
+            at = at[among(grams[at], index.marks)]
+            around = np.zeros(len(words) + n, bool)
+            for i in range(n - K + 1):
+                around[np.maximum(at - i, 0)] = True
+            starts = np.flatnonzero(around[: len(words) - n + 1])
+        starts = starts[owner[starts] == owner[starts + n - 1]]
+        if len(starts):
+            found.append((windows, *windows.find(index.words, words, starts)))
+    return found
 
 
 def slices(benchmark: DataFrame, id_column: str, text_column: str, limit: int):
@@ -147,6 +167,16 @@ def slices(benchmark: DataFrame, id_column: str, text_column: str, limit: int):
         yield list(zip(rows["id"].to_pylist(), utf8(rows["text"].combine_chunks())))
 
 
+def names_of(index: Index, parts: list[np.ndarray]) -> list[str]:
+    """The sorted ids of these items, without null."""
+    if not parts:
+        return []
+    seen = np.zeros(len(index.ids), bool)
+    for part in parts:
+        seen[part] = True
+    return sorted({name for i in np.flatnonzero(seen).tolist() if (name := index.ids[i]) is not None})
+
+
 def scan(docs: DataFrame, items: list[tuple[object, bytes]], window: int) -> DataFrame:
     """The columns of ``docs`` and
 
@@ -155,7 +185,8 @@ def scan(docs: DataFrame, items: list[tuple[object, bytes]], window: int) -> Dat
                   merged and in order
     ``items``     array of the ids whose windows occur, as text, in order
 
-    A null text has no words. Repeated rows stay; items with equal text all count.
+    A null text has no words. Repeated rows stay; items with equal text all count. An
+    item without an id makes hits and is left out of ``items``.
     Of clashing names the result's own win. ``items``: one slice.
     """
     carried = [c for c in docs.columns if c not in OWN]
@@ -169,17 +200,20 @@ def scan(docs: DataFrame, items: list[tuple[object, bytes]], window: int) -> Dat
             words = [WORDS.of(alnum_words(text)) for text in utf8(batch.column("text"))]
             sizes = np.array([len(w) for w in words], np.int64)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            at, item, length = matches(index, np.concatenate(words), owner)
+            found = matches(index, np.concatenate(words), owner)
             ends = np.cumsum(sizes)
             hits: list[list] = [[] for _ in words]
-            items: list[list] = [[] for _ in words]
-            if len(at):
-                cover = np.zeros(len(owner) + 1, np.int64)
+            cover = np.zeros(len(owner) + 1, np.int64)
+            held: list[list[np.ndarray]] = [[] for _ in words]
+            for windows, at, which in found:
                 np.add.at(cover, at, 1)
-                np.add.at(cover, at + length, -1)
-                covered = np.cumsum(cover[:-1]) > 0
+                np.add.at(cover, at + windows.n, -1)
+                # Each window of a document once.
+                for doc, w in np.unique(np.stack([owner[at], which]), axis=1).T.tolist():
+                    held[doc].append(windows.items[windows.bounds[w] : windows.bounds[w + 1]])
+            edge = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+            if len(edge):
                 # Ranges end where the cover or the document does.
-                edge = np.flatnonzero(covered)
                 new = np.ones(len(edge), bool)
                 new[1:] = (np.diff(edge) > 1) | (owner[edge[1:]] != owner[edge[:-1]])
                 first = edge[new]
@@ -188,21 +222,22 @@ def scan(docs: DataFrame, items: list[tuple[object, bytes]], window: int) -> Dat
                     doc = owner[a]
                     base = int(ends[doc] - sizes[doc])
                     hits[doc].append({"start": a - base, "end": b + 1 - base})
-                for doc, i in np.unique(np.stack([owner[at], item]), axis=1).T.tolist():
-                    items[doc].append(index.ids[i])
-            kept = [batch.column(c) for c in carried]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *kept,
-                    pa.array(sizes),
-                    pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(
-                        [sorted({i for i in x if i is not None}) for x in items],
-                        pa.list_(pa.string()),
-                    ),
-                ],
-                [*carried, *OWN],
-            )
+            items: list[list[str]] = []
+            for doc, parts in enumerate(held):
+                items.append(names_of(index, parts))
+                if doc + 1 == len(held) or sum(map(len, items)) >= LISTED:
+                    start = doc + 1 - len(items)
+                    part = batch.slice(start, len(items))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(part.column(c) for c in carried),
+                            pa.array(sizes[start : doc + 1]),
+                            pa.array(hits[start : doc + 1], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                            pa.array(items, pa.list_(pa.string())),
+                        ],
+                        [*carried, *OWN],
+                    )
+                    items = []
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in OWN)
     return docs.select(*carried).mapInArrow(
@@ -277,6 +312,8 @@ def clean(
     columns stay as they are."""
     columns = docs.columns
     docs, names = set_aside(docs, *OWN)
-    for items in slices(benchmark, id_column, "text", limit):
+    for k, items in enumerate(slices(benchmark, id_column, "text", limit)):
+        # Each slice has its own job, so a task holds the index of one.
+        docs = keep(docs, "clean") if k else docs
         docs = scan(docs, items, window).where(F.size("hits") == 0).drop(*OWN)
     return docs.withColumnsRenamed(names).select(*columns)

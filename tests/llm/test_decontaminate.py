@@ -1,7 +1,9 @@
 """op8 against every window compared with every position."""
 
 import hashlib
+import tracemalloc
 
+import numpy as np
 import pytest
 from llm_helpers import DATA, alnum_words, clash, documents, sample_texts
 
@@ -70,6 +72,41 @@ def test_clean_keeps_the_others(spark):
         assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(expected, key=str)
 
 
+def test_memory_does_not_grow_with_items_of_one_passage():
+    """Peak memory of a batch of 500 documents with the preamble of 20,000 items."""
+    preamble = " ".join(f"p{i}" for i in range(30))
+    peaks = {}
+    for n in (200, 20_000):
+        items = [(i, f"{preamble} q{i}".encode()) for i in range(n)] + [(n, f"{preamble} z".encode())]
+        index = decontaminate.Index(items, 10)
+        words = [decontaminate.WORDS.of(decontaminate.alnum_words(f"a b {preamble} z{i} c".encode())) for i in range(500)]
+        owner = np.repeat(np.arange(500), [len(w) for w in words])
+        words = np.concatenate(words)
+        tracemalloc.start()
+        found = decontaminate.matches(index, words, owner)
+        peaks[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        (windows, at, which), = found
+        assert len(at) == 500 * 21  # the windows within the preamble
+        assert all(windows.bounds[w + 1] - windows.bounds[w] == n + 1 for w in set(which.tolist()))
+    assert peaks[20_000] < 2 * peaks[200] + 1_000_000 and peaks[20_000] < 50_000_000, peaks
+
+
+def test_items_of_one_passage(spark):
+    preamble = " ".join(f"p{i}" for i in range(12))
+    bench = [(i, f"{preamble} q{i}") for i in range(20_000)]
+    rows = [(1, f"x {preamble} q7 y"), (2, "p0 p1 p2"), (3, preamble), (4, None)]
+    assert as_rows(decontaminate.report(documents(spark, rows), bench_frame(spark, bench), 10)) == brute(rows, bench)
+    kept = decontaminate.clean(documents(spark, rows), bench_frame(spark, bench), 10)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4]
+
+
+def test_items_without_id(spark):
+    bench = [(None, " ".join("abcdefghijkl")), (1, "z y")]
+    got = as_rows(decontaminate.report(documents(spark, [" ".join("abcdefghijkl"), "z y"]), bench_frame(spark, bench), 10))
+    assert [(r[2], r[3], r[5]) for r in got] == [(12, 0, True), (2, 1, True)]
+
+
 def test_empty_sides(spark):
     none = bench_frame(spark, [])
     assert as_rows(decontaminate.report(documents(spark, ["a b", None]), none, 10)) == brute(
