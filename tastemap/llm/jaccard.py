@@ -18,12 +18,13 @@ light sets that are large enough to link with a heavy one post to the lists, too
 ``boundary`` is the size (64 at most) up to which a set has no more subsets than postings and
 expected meetings in the lists together, as measured on the sample.
 
-Lists of one set go. In the others, sets are compared in rounds: a hub of each list
-with all that are not in its component; then the hub leaves the list, components are
-found anew, and lists of one component go, so that a large group of near copies costs
-about a comparison for each member.
+Lists fall apart where sizes and places in the order leave no pair of a smaller and a
+larger member, and lists of one set go. In the others, sets are compared in rounds:
+some hubs of each list with all that are not in their components; then the hubs leave
+the list, components are found anew, and lists of one component go, so that a large
+group of near copies costs about a comparison for each member.
 
-Lists that are still open after ``ROUNDS`` hubs are keyed anew, by what sets apart
+Lists that are still open after the hubs of ``ROUNDS`` are keyed anew, by what sets apart
 rather than by what they share. For any set h, the symmetric differences D = A ^ h have
 A ^ B = D(A) ^ D(B), so sets are linked where their differences share enough. The
 lists of one hub are a cluster, and its h holds what most of some of its members have.
@@ -61,8 +62,8 @@ PERCENT = 75
 SAMPLED = 8
 #: Shingles that are ordered by their frequency in the sample, at most.
 FREQUENT = 200_000
-#: Hubs that a list is compared with before it is keyed anew.
-ROUNDS = 3
+#: Hubs of each list in the rounds before lists are keyed anew.
+ROUNDS = (1, 8, 8)
 #: Members of a cluster whose common shingles are its h.
 CORE = 16
 #: Parts that the rows of one component are joined in.
@@ -205,21 +206,33 @@ def sample(docs: DataFrame, size: int, percent: int) -> tuple[Order, int]:
     return order, boundary
 
 
-def _shared(posted: DataFrame) -> DataFrame:
+def _shared(posted: DataFrame, percent: int) -> DataFrame:
     """Of (key, vertex, n, size, place), each vertex of a key once, and only keys under
-    which several meet. One shuffle: all steps keep the partitioning by key."""
-    by_key = W.partitionBy("key")
+    which several meet that may be linked. One shuffle: all steps keep the partitioning
+    by key.
+
+    Two members have to reach each other, see ``near``; so in the order of their weights
+    a list ends where the next weight is beyond the reach of all before.
+    """
+    weight = (100 + percent) * F.col("size").cast("bigint") - (100 - percent) * F.col("n")
+    reach = 2 * (100 + percent) * (F.col("size") - F.col("place")).cast("bigint") - F.col("weight")
+    order = W.partitionBy("key").orderBy("weight", "vertex")
+    before = F.max("reach").over(order.rowsBetween(W.unboundedPreceding, -1))
     return (
         posted.repartition("key")
         .groupBy("key", "vertex", "n", "size")
         .agg(F.min("place").alias("place"))
-        .withColumn("members", F.count(F.lit(1)).over(by_key))
+        .withColumn("weight", weight)
+        .withColumn("reach", reach)
+        .withColumn("new", (F.coalesce(before, F.col("weight") - 1) < F.col("weight")).cast("int"))
+        .withColumn("part", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key", "part")))
         .where("members > 1")
-        .drop("members")
+        .select(F.xxhash64("key", "part").alias("key"), "vertex", "n", "size", "place")
     )
 
 
-def lists(digest: DataFrame) -> DataFrame:
+def lists(digest: DataFrame, percent: int) -> DataFrame:
     """key, vertex, n, size, place of all keys under which several vertices meet.
 
     ``size``: shingles of the set that the keys are taken from, here all ``n`` of the
@@ -229,7 +242,7 @@ def lists(digest: DataFrame) -> DataFrame:
         "vertex", F.col("n_shingles").cast("int").alias("n"), "tokens", F.posexplode("keys").alias("at", "key")
     )
     place = F.when(F.col("at") < F.col("tokens"), F.col("at")).otherwise(0)
-    return _shared(posted.select("key", "vertex", "n", F.col("n").alias("size"), place.alias("place")))
+    return _shared(posted.select("key", "vertex", "n", F.col("n").alias("size"), place.alias("place")), percent)
 
 
 def near(a: str, b: str, percent: int):
@@ -242,19 +255,23 @@ def near(a: str, b: str, percent: int):
     )
 
 
-def star(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """In each list, pairs of a hub with all members of other components; and the lists
-    without their hubs.
+def star(members: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """In each list, pairs of some hubs with all members of other components; and the
+    lists without these hubs.
 
-    The hub has the smallest hash, so lists of the same members have the same one.
+    Hubs have the smallest hashes, so lists of the same members have the same ones.
     """
-    pick = F.struct(F.xxhash64("vertex"), "vertex", "component", "n", "size", "place")
-    hubs = members.groupBy("key").agg(F.min(pick).alias("hub")).select("key", "hub.*")
-    a, b = hubs.alias("a"), members.alias("b")
-    both = b.join(a, F.col("a.key") == F.col("b.key")).where(F.col("a.vertex") != F.col("b.vertex"))
-    pairs = both.where((F.col("a.component") != F.col("b.component")) & near("a", "b", percent))
-    rest = both.select("b.key", "b.vertex", "b.n", "b.size", "b.place")
-    return pairs.select(F.col("a.vertex").alias("a"), F.col("b.vertex").alias("b")).distinct(), rest
+    place = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("vertex"), "vertex"))
+    own = ["key", "vertex", "n", "size", "place"]
+    some = members.withColumn("at", place).where(F.col("at") <= hubs).drop("at")
+    a, b = some.alias("a"), members.alias("b")
+    pairs = (
+        b.join(a, F.col("a.key") == F.col("b.key"))
+        .where((F.col("a.component") != F.col("b.component")) & near("a", "b", percent))
+        .select(F.least("a.vertex", "b.vertex").alias("a"), F.greatest("a.vertex", "b.vertex").alias("b"))
+        .distinct()
+    )
+    return pairs, members.select(*own).join(some.select("key", "vertex"), ["key", "vertex"], "left_anti")
 
 
 def cores(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -323,7 +340,7 @@ def rekeyed(members: DataFrame, sets: DataFrame, order: Order, percent: int) ->
     posted = marked.withColumn("first", first).where("first > 0")
     posted = posted.select("hub", "vertex", "n", "size", F.posexplode(F.slice("apart", 1, F.col("first"))).alias("place", "key"))
     posted = posted.withColumn("key", F.xxhash64("hub", "key"))
-    return _shared(posted.select("key", "vertex", "n", "size", "place")), certain
+    return _shared(posted.select("key", "vertex", "n", "size", "place"), percent), certain
 
 
 def _compared(pairs: DataFrame, facts: DataFrame, passes) -> DataFrame:
@@ -451,7 +468,7 @@ def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     order, boundary = sample(docs, size, percent)
     digest = keep(digests(docs, order, boundary, size, percent), "digests")
     path = scratch(docs.sparkSession, "lists")
-    members = write(lists(digest), path)
+    members = write(lists(digest, percent), path)
     # One document of each member.
     vertices = keep(
         digest.join(members.select("vertex").distinct(), "vertex", "left_semi")
@@ -480,12 +497,13 @@ def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         return keep(linked(passed, fetched(ends), percent), "linked")
 
     labels = None
-    for turn in itertools.count(1):
+    for turn in itertools.count():
         now = opened(members, labels)
         if now.isEmpty():
             break
-        if turn % (ROUNDS + 1):
-            pairs, members = star(now, percent)
+        step = turn % (len(ROUNDS) + 1)
+        if step < len(ROUNDS):
+            pairs, members = star(now, ROUNDS[step], percent)
             labels = merged(labels, compared(pairs))
         else:
             known = fetched(now.select("vertex").distinct())

@@ -97,7 +97,7 @@ def test_many_rounds_of_a_large_group(spark, monkeypatch):
     calls = []
     whole = jaccard.rekeyed
     monkeypatch.setattr(jaccard, "rekeyed", lambda *a: calls.append(1) or whole(*a))
-    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "ROUNDS", (1,))
     monkeypatch.setattr(jaccard, "CORE", 5)
     assert as_rows(jaccard.join(documents(spark, rows))) == brute(rows)
     assert calls
@@ -132,9 +132,8 @@ def test_compared_pairs_grow_with_the_rows(spark, monkeypatch):
 
 def test_differences_find_all_links(spark, monkeypatch):
     """Keyed anew at once, before any hub: unequal sizes, groups that overlap."""
-    monkeypatch.setattr(jaccard, "ROUNDS", 0)
     monkeypatch.setattr(jaccard, "CORE", 3)
-    turns = iter([0] + [1] * 50)  # the first list is keyed anew, later ones have hubs, too
+    turns = iter([()] + [(1,)] * 50)  # the first list is keyed anew, later ones have hubs, too
     whole = jaccard.opened
     monkeypatch.setattr(jaccard, "opened", lambda *a: setattr(jaccard, "ROUNDS", next(turns)) or whole(*a))
     rows = list(enumerate(texts(150, 11, 40))) + [(1000 + i, t) for i, t in edited_copies(60)]
