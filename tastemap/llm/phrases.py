@@ -22,7 +22,7 @@ drops one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,14 +62,26 @@ def local_support(support: int, part: int, total: int) -> int:
     return 1 + (support - 1) * part // total
 
 
+def _shift(i: int) -> int:
+    """Bits by which the hash of a phrase's ``i``-th word is shifted in its place."""
+    return 13 * i % 38
+
+
 class Bitmap:
-    """Places of frequent phrases of one length."""
+    """Places of frequent phrases of one length.
+
+    A place mixes the hashes of the words, so a shard tests all its phrases without
+    writing them out.
+    """
 
-    def __init__(self, phrases: DataFrame, bits: int = BITS):
-        """``phrases``: lang, phrase."""
-        place = F.xxhash64(F.concat_ws("\t", "lang", "phrase")).bitwiseAND(F.lit(bits - 1)).alias("place")
+    def __init__(self, phrases: DataFrame, length: int, bits: int = BITS):
+        """``phrases``: lang, phrase; of ``length`` words each."""
+        place = F.lit(0).cast("bigint")
+        for i in range(length):
+            word = F.element_at(F.split("phrase", " "), i + 1)
+            place = place.bitwiseXOR(F.shiftrightunsigned(F.xxhash64(F.concat_ws("\t", "lang", word)), _shift(i)))
         rows = (
-            phrases.select(place)
+            phrases.select(place.bitwiseAND(F.lit(bits - 1)).alias("place"))
             .select(F.expr("place >> 6").alias("at"), F.expr("shiftleft(1L, cast(place & 63 AS int))").alias("bit"))
             .groupBy("at")
             .agg(F.bit_or("bit").alias("bit"))
@@ -78,13 +90,20 @@ class Bitmap:
         self.bits = np.zeros(bits // 64, np.uint64)
         self.bits[rows["at"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
 
-    def has(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
-        digest, lead = xxhash.xxh64_intdigest, lang + b"\t"
-        place = np.fromiter((digest(lead + p, _SEED) for p in phrases), np.uint64, len(phrases))
+    def has(self, hashes: list[np.ndarray]) -> np.ndarray:
+        """For phrases of words with these hashes, a list for each place in the phrase."""
+        place = np.zeros(len(hashes[0]), np.uint64)
+        for i, h in enumerate(hashes):
+            place ^= h >> np.uint64(_shift(i))
         place &= np.uint64(64 * len(self.bits) - 1)
         return (self.bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+def word_hashes(lang: bytes, words: Iterable[bytes]) -> np.ndarray:
+    lead = lang + b"\t"
+    return np.array([xxhash.xxh64_intdigest(lead + w, _SEED) for w in words], np.uint64)
+
+
 class _Numbers(dict):
     """Number of each word of a shard; the full stop that ends a piece is 0."""
 
@@ -120,22 +139,19 @@ class Shard:
         count."""
         self.words = np.concatenate(self.texts)
         self.texts = []
-        # at[i]: number of the phrase that starts at the i-th word; -1 for none.
-        _, start, at, count = np.unique(self.words, return_index=True, return_inverse=True, return_counts=True)
-        at = np.where(self.words > 0, at.reshape(-1), -1)
-        start, count = start[1:], count[1:]  # 0 comes first
-        at -= at > -1
-        for size, known in zip(range(2, length + 1), maps):
-            good = [known.has(lang, texts) for texts in self.texts_at(start, size - 1)]
-            good = np.append(np.concatenate(good), False) if good else np.zeros(1, bool)
-            good = good[at]  # -1 is the last
-            place = np.flatnonzero(good[:-1] & good[1:])
-            key = at[place].astype(np.int64) << 32 | self.words[place + size - 1]
+        good = self.words > 0
+        hashes = word_hashes(lang, self.numbers)[self.words] if length > 1 else None
+        for size, known in zip(range(1, length), maps):
+            n = len(good)
+            good &= known.has([hashes[i : i + n] for i in range(size)])
+            good = good[:-1] & good[1:]
+        start = np.flatnonzero(good)
+        number = self.words[start]
+        _, first, number, count = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
+        for i in range(1, length):
+            key = number.reshape(-1).astype(np.int64) << 32 | self.words[start + i]
             _, first, number, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            start = place[first]
-            at = np.full(max(0, len(at) - 1), -1, np.int64)
-            at[place] = number.reshape(-1)
-        return start, count
+        return start[first], count
 
 
 def mine(
@@ -266,7 +282,7 @@ def collocations(
     known = {r["lang"]: r["n"] for r in totals.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     levels, maps = [keep(counted(mined, support), "phrases-1")], []
     for length in range(2, longest + 1):
-        maps.append(Bitmap(levels[-1], bits))
+        maps.append(Bitmap(levels[-1], length - 1, bits))
         mined = mine(docs, length, maps, support, known, shard)
         levels.append(keep(counted(mined, support), f"phrases-{length}"))
     found = scored(levels)

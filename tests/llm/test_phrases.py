@@ -89,12 +89,14 @@ def test_local_support_loses_nothing():
 
 
 def test_bitmap_places_are_sparks(spark):
-    words = ["the", "é ü", "", "x" * 100]
-    frame = spark.createDataFrame([("en", w) for w in words], "lang string, phrase string")
-    bitmap = phrases.Bitmap(frame, 1 << 20)
-    assert bitmap.has(b"en", [w.encode() for w in words]).all()
-    assert not bitmap.has(b"fr", [w.encode() for w in words]).any()
-    got = frame.select(F.xxhash64(F.concat_ws("\t", "lang", "phrase")).alias("h")).first()["h"]
+    rows = ["the é", "ü x", "x the", "é é"]
+    frame = spark.createDataFrame([("en", w) for w in rows], "lang string, phrase string")
+    bitmap = phrases.Bitmap(frame, 2, 1 << 20)
+    hashes = lambda lang, texts: [phrases.word_hashes(lang, [t.split()[i].encode() for t in texts]) for i in (0, 1)]
+    assert bitmap.has(hashes(b"en", rows)).all()
+    assert not bitmap.has(hashes(b"fr", rows)).any()
+    assert not bitmap.has(hashes(b"en", ["é the", "x ü", "the x"])).any()
+    got = frame.select(F.xxhash64(F.concat_ws("\t", "lang", F.lit("the"))).alias("h")).first()["h"]
     assert got % (1 << 64) == xxhash.xxh64_intdigest(b"en\tthe", 42)
 
 
