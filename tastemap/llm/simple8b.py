@@ -8,7 +8,7 @@ a block:
 ``shard, block``        its place; rows in this order hold the documents in order
 ``doc_ids, lengths``    the block's documents and their counts of ids
 ``words``               Simple-8b words, little-endian, four selector bits on top
-``offsets``             first word of each frame of ``FRAME`` ids
+``offsets``             first word of each frame of ``FRAME`` ids; says which ids a word holds
 ``escapes``             ids that no word can hold (60 bits and more), in order
 
 Frames are independent of each other, so all frames of a block are encoded and
@@ -95,20 +95,32 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, offsets, escapes
 
 
-def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
-    """The ids of consecutive frames that start at ``words[0]``."""
+def decode(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` ids of a block; an error if its frames do not hold as many each.
+
+    All words of all frames at once: the offsets say in which frame a word is, and the
+    words before it in the frame where its ids begin.
+    """
+    offsets = offsets.astype(np.int64)
+    frames = -(-n // FRAME)
+    if len(offsets) != frames or (frames and (offsets[0] or (np.diff(offsets) <= 0).any() or offsets[-1] >= len(words))):
+        raise ValueError("the frames' offsets are damaged")
     selector = (words >> np.uint64(60)).astype(np.int64)
     counts = np.array([c for c, _ in SELECTORS])[selector]
-    ends = np.cumsum(counts)
-    ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
-    starts = ends - counts
+    before = np.cumsum(counts) - counts
+    frame = np.repeat(np.arange(frames), np.diff(offsets, append=len(words)))
+    starts = frame * FRAME + before - before[offsets][frame]
+    if n != counts.sum() or (n and (np.add.reduceat(counts, offsets) != np.minimum(FRAME, n - FRAME * np.arange(frames))).any()):
+        raise ValueError("the frames' offsets are damaged")
+    ids = np.zeros(n, np.uint64)
     for s, (count, bits) in enumerate(SELECTORS):
         if bits and len(mine := np.flatnonzero(selector == s)):
             mask = np.uint64((1 << bits) - 1)
             for i in range(count):
                 ids[starts[mine] + i] = (words[mine] >> np.uint64(bits * i)) & mask
-    if len(escapes):
-        ids[ids == np.uint64(ESCAPE)] = escapes
+    if (large := ids == np.uint64(ESCAPE)).sum() != len(escapes):
+        raise ValueError("the escapes are damaged")
+    ids[large] = escapes
     return ids
 
 
@@ -117,8 +129,12 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, name: str = "simple8b")
 
     Documents stand in ascending ``doc_id``, nulls first, equal ids in the order
     of their texts. ``end`` is appended to each document; a null text is empty.
-    Other columns are ignored.
+    Other columns are ignored. ``doc_id`` of another type than whole numbers that fit a
+    long is an error.
     """
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError(f"doc_id has to be a whole number, not {kind}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block = TaskContext.get().partitionId(), 0
@@ -158,14 +174,12 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, name: str = "simple8b")
         if parts:
             yield row()
 
-    kind = dict(docs.dtypes)["doc_id"]
     ordered = (
         docs.select("doc_id", "text")
         .repartitionByRange("doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
         .select(F.col("doc_id").cast("bigint"), "text")
     )
-    assert kind in ("bigint", "int", "smallint", "tinyint"), kind
     return keep(ordered.mapInArrow(run, TABLE), name, codec="zstd")
 
 
@@ -176,9 +190,10 @@ def read_ids(table: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 1):
             x = {name: batch.column(name)[0].as_py() for name in batch.schema.names}
-            ids = decode(np.frombuffer(x["words"], "<u8"), np.frombuffer(x["escapes"], "<u8"))
-            if sum(x["lengths"]) != len(ids):
-                raise ValueError(f"block {x['block']} of shard {x['shard']} is damaged")
+            words, offsets, escapes = (
+                np.frombuffer(x[c], kind) for c, kind in (("words", "<u8"), ("offsets", "<u4"), ("escapes", "<u8"))
+            )
+            ids = decode(words, offsets, escapes, sum(x["lengths"]))
             raw = memoryview(ids.astype("<u4").tobytes())
             ends = np.cumsum(np.array(x["lengths"], np.int64))
             starts = ends - x["lengths"]
@@ -200,7 +215,7 @@ def read_ids(table: DataFrame) -> DataFrame:
         "doc_id bigint, shard int, block int, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
     return table.select(
-        "shard", "block", "doc_ids", "lengths", "words", "escapes"
+        "shard", "block", "doc_ids", "lengths", "words", "offsets", "escapes"
     ).mapInArrow(run, schema)
 
 

@@ -54,10 +54,11 @@ class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes.
 
     ``path``: a file of the tokenizers library. Strings of special tokens are
-    ordinary text. ``limit`` bounds the caches; see ``_Recent``.
+    ordinary text. ``limit`` bounds the cache of pieces; that of their parts, which
+    cost more and weigh less, holds more. See ``_Recent``.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,7 +66,7 @@ class Encoder:
         self.model = self.tokenizer.model
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # it would repeat the caches below
-        self.parts = _Recent(self._part, limit // 2)
+        self.parts = _Recent(self._part, 5 * limit // 2)
         #: Whether a blank belongs to the part after it.
         self.blank = self._ids([" a"])[0] != self._ids(["a"])[0]
         lead = " " if self.blank else ""

@@ -9,6 +9,8 @@ from hypothesis import given, settings as trials
 from hypothesis import strategies as st
 from llm_helpers import DATA, clash, documents, sample_texts
 
+from pyspark.sql import functions as F
+
 from tastemap.llm import packing, simple8b
 from tastemap.llm.tokens import Encoder, public_path
 
@@ -68,7 +70,7 @@ def _encoder(path, found={}):
 def test_simple8b_round_trip(ids, zeros):
     ids = np.array(ids + [0] * zeros + ids, np.uint64)
     words, offsets, escapes = simple8b.encode(ids)
-    assert np.array_equal(simple8b.decode(words, escapes), ids)
+    assert np.array_equal(simple8b.decode(words, offsets, escapes, len(ids)), ids)
     assert len(offsets) == -(-len(ids) // simple8b.FRAME)
     for k, start in enumerate(offsets):  # each frame on its own
         end = offsets[k + 1] if k + 1 < len(offsets) else len(words)
@@ -76,7 +78,7 @@ def test_simple8b_round_trip(ids, zeros):
         own = ids[: k * simple8b.FRAME]
         skip = int((own >= 2**60 - 1).sum())
         mine = escapes[skip : skip + int((part >= 2**60 - 1).sum())]
-        assert np.array_equal(simple8b.decode(words[start:end], mine), part)
+        assert np.array_equal(simple8b.decode(words[start:end], np.zeros(1, int), mine, len(part)), part)
 
 
 def test_small_ids_share_words():
@@ -207,3 +209,34 @@ def test_packing_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()]
     n, lengths = check_packing(got, rows, 2048)
     assert n <= 1.02 * best_fit_decreasing(lengths, 2048) + 1
+
+
+def test_damaged_blocks_are_found():
+    ids = np.random.default_rng(4).integers(0, 50_000, 5000).astype(np.uint64)
+    words, offsets, escapes = simple8b.encode(ids)
+    for k in range(len(offsets)):
+        for by in (-1, 1):
+            bad = offsets.copy()
+            bad[k] += by
+            with pytest.raises(ValueError, match="damaged"):
+                simple8b.decode(words, bad, escapes, len(ids))
+    for bad in (offsets[:-1], np.append(offsets, len(words)), offsets[:0]):
+        with pytest.raises(ValueError, match="damaged"):
+            simple8b.decode(words, bad, escapes, len(ids))
+    with pytest.raises(ValueError, match="damaged"):
+        simple8b.decode(words[:-1], offsets, escapes, len(ids))
+    with pytest.raises(ValueError, match="damaged"):
+        simple8b.decode(words, offsets, np.zeros(1, np.uint64), len(ids))
+
+
+def test_damaged_offsets_of_a_table_are_found(spark):
+    table = simple8b.write_ids(documents(spark, ["some words"] * 40), public_path("byte_bpe_50k.json"), 0)
+    assert simple8b.read_ids(table).count() == 40
+    broken = table.withColumn("offsets", F.lit(bytearray(b"\x01\0\0\0")))
+    with pytest.raises(Exception, match="damaged"):
+        simple8b.read_ids(broken).collect()
+
+
+def test_other_types_of_doc_id_are_an_error(spark):
+    with pytest.raises(ValueError, match="whole number"):
+        simple8b.write_ids(spark.createDataFrame([("a", "b")], "doc_id string, text string"), "x", 0)
