@@ -20,7 +20,7 @@ def test_stages(spark, tmp_path, scale):
     columns, docs_in = docs.columns, docs
     rows = {r.doc_id: r for r in docs.collect()}
     good = {r.doc_id for r in QUERIES["op9_quality"](spark, directory).collect() if r.predicted}
-    texts = brute_lines([(d, rows[d].text, rows[d].source) for d in good], 0.1, 5)
+    texts = brute_lines([(d, rows[d].text, rows[d].source) for d in good], 0.1, 2)
     texts = {d: t for d, t, *_ in texts}
     single = {d for d, n, c in brute_classes(list(texts.items())) if d == c or not n}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{directory}/benchmark.parquet").collect()]
