@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tastemap.llm.common import WORDS, discard, keep, mix, ngrams, pieces_of, scratch, space_words, utf8, write
+from tastemap.llm.common import WORDS, blocks, discard, keep, mix, ngrams, pieces_of, scratch, space_words, utf8, write
 
 SHINGLE = 5
 PERCENT = 75
@@ -68,6 +68,13 @@ ROUNDS = (1, 8, 8)
 CORE = 16
 #: Parts that the rows of one component are joined in.
 PARTS = 16
+#: Rows of a task in the steps that follow a table whose rows are counted. There are no
+#: fewer than ``PARTS`` tasks, and no more than shuffle partitions.
+TASK_ROWS = 20_000
+
+
+def _tasks(rows: int) -> int:
+    return max(PARTS, blocks(rows, TASK_ROWS))
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -323,7 +330,8 @@ def rekeyed(members: DataFrame, sets: DataFrame, order: Order, percent: int) ->
     hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("vertex"), "vertex")).alias("hub"))
     rows = members.join(hubs, "key").select(F.col("hub.vertex").alias("hub"), "vertex", "n").distinct()
     rows = keep(rows, "clusters")
-    apart = differences(rows, sets, keep(cores(rows, sets), "cores"), order)
+    tasks = _tasks(rows.count())
+    apart = differences(rows, sets, keep(cores(rows, sets).coalesce(tasks), "cores"), order).coalesce(tasks)
     spare = (100 - percent) * F.col("n").cast("bigint") - (100 + percent) * F.col("size")
     apart = keep(apart.withColumn("size", F.size("apart")).withColumn("spare", spare), "apart")
     best = apart.groupBy("hub").agg(F.max(F.struct("spare", "vertex")).alias("best"))
@@ -383,30 +391,25 @@ def components(links: DataFrame) -> DataFrame:
     """vertex, component: the smallest vertex that links (a, b) reach.
 
     Each turn takes the smallest label of a vertex and its neighbours, then the
-    label of that label; tables in the shared folder cut the lineage.
+    last turn's label of that label; tables in the shared folder cut the lineage.
     """
+    tasks = _tasks(2 * links.count())
     both = keep(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
+        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        .coalesce(tasks),
         "links",
     )
-    labels = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("vertex"), F.least("a", "m").alias("component")), "labels")
+    first = both.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+    labels = keep(first.select(F.col("a").alias("vertex"), F.least("a", "m").alias("component")), "labels")
     while True:
-        seen = (
-            both.join(labels, both["b"] == labels["vertex"])
-            .groupBy("a")
-            .agg(F.min("component").alias("m"))
-        )
-        lower = labels.join(seen, labels["vertex"] == seen["a"]).select(
+        near_by = labels.select(F.col("vertex").alias("b"), F.col("component").alias("m"))
+        seen = both.join(near_by, "b").groupBy(F.col("a").alias("vertex")).agg(F.min("m").alias("m")).coalesce(tasks)
+        lower = seen.join(labels, "vertex").select(
             "vertex", F.col("component").alias("old"), F.least("component", "m").alias("component")
         )
-        jump = lower.select(F.col("vertex").alias("component"), F.col("component").alias("next"))
-        labels = keep(
-            lower.join(jump, "component", "left").select(
-                "vertex", "old", F.coalesce("next", "component").alias("component")
-            ),
-            "labels",
-        )
+        jump = labels.select(F.col("vertex").alias("component"), F.col("component").alias("next"))
+        lower = lower.join(jump, "component").select("vertex", "old", F.col("next").alias("component"))
+        labels = keep(lower.coalesce(tasks), "labels")
         if labels.where("old <> component").isEmpty():
             return labels.select("vertex", "component")
         labels = labels.drop("old")
@@ -420,14 +423,14 @@ def _in_parts(rows: DataFrame, few: DataFrame, column: str, how: str = "inner")
     return rows.withColumn("part", part).join(every, [column, "part"], how).drop("part")
 
 
-def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """``labels`` (vertex, component) with ``links`` (a, b) added."""
+def merged(labels: DataFrame | None, links: DataFrame, tasks: int) -> DataFrame | None:
+    """``labels`` (vertex, component) with ``links`` (a, b) added, in so many tasks."""
     if labels is None:
         return None if links.isEmpty() else components(links)
     of = lambda end, name: labels.select(F.col("vertex").alias(end), F.col("component").alias(name))
     ends = links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
     ends = ends.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
-    ends = keep(ends, "joining")
+    ends = keep(ends.coalesce(tasks), "joining")
     if ends.isEmpty():
         return labels
     more = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -436,17 +439,19 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     new = new.union(ends.select("b", "y")).where("vertex = component").distinct()
     every = labels.unionByName(new.join(labels.select("vertex"), "vertex", "left_anti"))
     moved = _in_parts(every, more, "component", "left")
-    return keep(moved.select("vertex", F.coalesce("next", "component").alias("component")), "components")
+    moved = moved.select("vertex", F.coalesce("next", "component").alias("component"))
+    return keep(moved.coalesce(tasks), "components")
 
 
-def opened(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The lists of several components, with each member's component."""
+def opened(members: DataFrame, labels: DataFrame | None, tasks: int) -> DataFrame:
+    """The lists of several components, with each member's component, in so many tasks."""
     if labels is None:
         now = members.withColumn("component", F.col("vertex"))
     else:
         now = members.join(labels, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    return keep(now.join(several.where("x <> y").select("key"), "key", "left_semi"), "members")
+    open_lists = now.join(several.where("x <> y").select("key"), "key", "left_semi")
+    return keep(open_lists.coalesce(tasks), "members")
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -477,39 +482,43 @@ def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         "vertices",
     )
     digest = digest.select("doc_id", "n_shingles", "vertex", "text_hash")
+    count, tasks = members.count(), _tasks(vertices.count())
     sets = None
 
-    def fetched(wanted: DataFrame) -> DataFrame:
+    def fetched(wanted: DataFrame, tasks: int) -> DataFrame:
         """The sets of all vertices so far, and those of ``wanted``."""
         nonlocal sets
         if sets is not None:
             wanted = wanted.join(sets.select("vertex"), "vertex", "left_anti")
-        wanted = keep(wanted, "wanted")
-        ids = vertices.join(wanted, "vertex").select("doc_id").distinct()
-        some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-        more = keep(_sets(some, size).join(wanted, "vertex", "left_semi").dropDuplicates(["vertex"]), "sets")
+        # Written, so that its size is known and decides how the texts are joined.
+        wanted = keep(vertices.select("vertex", "doc_id").join(wanted, "vertex").coalesce(tasks), "wanted")
+        ids = wanted.select(F.col("doc_id").alias("id"))
+        some = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        more = _sets(some, size).join(wanted.select("vertex"), "vertex", "left_semi").dropDuplicates(["vertex"])
+        more = keep(more.coalesce(tasks), "sets")
         sets = more if sets is None else sets.unionByName(more)
         return sets
 
     def compared(pairs: DataFrame) -> DataFrame:
         passed = keep(likely(keep(pairs, "pairs"), vertices, percent), "likely")
         ends = passed.select(F.col("a").alias("vertex")).union(passed.select("b")).distinct()
-        return keep(linked(passed, fetched(ends), percent), "linked")
+        return keep(linked(passed, fetched(ends, _tasks(2 * passed.count())), percent), "linked")
 
     labels = None
     for turn in itertools.count():
-        now = opened(members, labels)
-        if now.isEmpty():
+        now = opened(members, labels, _tasks(count))
+        if not (count := now.count()):
             break
         step = turn % (len(ROUNDS) + 1)
         if step < len(ROUNDS):
             pairs, members = star(now, ROUNDS[step], percent)
-            labels = merged(labels, compared(pairs))
+            labels = merged(labels, compared(pairs.coalesce(_tasks(count))), tasks)
         else:
-            known = fetched(now.select("vertex").distinct())
+            known = fetched(now.select("vertex").distinct(), _tasks(count))
             members, certain = rekeyed(now, known, order, percent)
-            labels = merged(labels, certain)
+            labels = merged(labels, certain, tasks)
             members = keep(members, "lists")
+            count = members.count()
     smallest = digest.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
     if labels is not None:
         smallest = smallest.join(labels, "vertex", "left").withColumn("root", F.coalesce("component", "vertex"))
