@@ -28,9 +28,9 @@ def scratch(spark: SparkSession, name: str) -> str:
         context = spark.sparkContext
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir has to name a shared folder")
-        base = _local_folders.setdefault(
-            context.applicationId, tempfile.mkdtemp(prefix="tastemap-")
-        )
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tastemap-")
+        base = _local_folders[context.applicationId]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
