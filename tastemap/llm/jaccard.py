@@ -351,8 +351,19 @@ def rekeyed(members: DataFrame, sets: DataFrame, order: Order, percent: int) ->
     return _shared(posted.select("key", "vertex", "n", "size", "place"), percent), certain
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("vertex")).union(pairs.select(F.col("b").alias("vertex"))).distinct()
+
+
 def _compared(pairs: DataFrame, facts: DataFrame, passes) -> DataFrame:
-    """The pairs (a, b) for which ``passes(fact of a, fact of b)``; facts: vertex, fact."""
+    """The pairs (a, b) for which ``passes(fact of a, fact of b)``; facts: vertex, fact.
+
+    What a later round compares is little beside all the sketches and sets, so only those
+    of the pairs' ends are dealt out. The ends are written, so that their size is known
+    and a few of them are sent to the facts.
+    """
+    ends = _ends(pairs)
+    facts = facts.join(keep(ends.coalesce(_tasks(2 * pairs.count())), "ends"), "vertex", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 500):
@@ -500,9 +511,13 @@ def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         return sets
 
     def compared(pairs: DataFrame) -> DataFrame:
-        passed = keep(likely(keep(pairs, "pairs"), vertices, percent), "likely")
-        ends = passed.select(F.col("a").alias("vertex")).union(passed.select("b")).distinct()
-        return keep(linked(passed, fetched(ends, _tasks(2 * passed.count())), percent), "linked")
+        pairs = keep(pairs, "pairs")
+        if not pairs.count():
+            return pairs
+        passed = keep(likely(pairs, vertices, percent), "likely")
+        if not (n := passed.count()):
+            return passed
+        return keep(linked(passed, fetched(_ends(passed), _tasks(2 * n)), percent), "linked")
 
     labels = None
     for turn in itertools.count():

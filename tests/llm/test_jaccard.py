@@ -7,6 +7,7 @@ import pytest
 from llm_helpers import DATA, clash, documents, space_words
 
 from tastemap.llm import jaccard
+from tastemap.tasks import recorded
 
 
 def shingles(text, size):
@@ -130,6 +131,23 @@ def test_compared_pairs_grow_with_the_rows(spark, monkeypatch):
     assert counts[1500] <= 8 * counts[300], counts
 
 
+def test_few_pairs_move_few_sets(spark, settings):
+    """Sets and sketches that no pair of a round asks for stay where they are."""
+    settings(spark__sql__autoBroadcastJoinThreshold="256k")
+    rng = np.random.default_rng(2)
+    found = [np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64)) for _ in range(2000)]
+    found[7] = found[5]
+    sets = spark.createDataFrame([(i, len(f), jaccard.sketch(f), f.tobytes()) for i, f in enumerate(found)],
+                                 "vertex bigint, n int, sketch binary, shingles binary")
+    sets = jaccard.keep(sets, "sets")
+    pairs = jaccard.keep(spark.createDataFrame([(5, 7), (5, 9)], "a bigint, b bigint"), "pairs")
+    for compare, facts in ((jaccard.likely, sets.drop("shingles")), (jaccard.linked, sets.select("vertex", "shingles"))):
+        out = []
+        stages = recorded(spark, lambda: out.extend(compare(pairs, facts, 75).collect()))
+        assert [tuple(row) for row in out] == [(5, 7)]
+        assert max(s.largest_shuffle for s in stages) <= 8
+
+
 def test_differences_find_all_links(spark, monkeypatch):
     """Keyed anew at once, before any hub: unequal sizes, groups that overlap."""
     monkeypatch.setattr(jaccard, "CORE", 3)
