@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def interactions(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def interactions(orders: DataFrame, lineitem: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per user and item with ``n``, ``qty`` and ``last_date``.
 
     ``n`` counts order lines, ``qty`` sums their quantity, ``last_date`` is the
@@ -18,6 +18,12 @@ def interactions(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     on (user, item), combined per task beforehand. A hot user spreads over its
     items, a hot item over its users, a hot pair is one row per task.
 
+    With ``parts`` the joined lines are dealt out to so many tasks, before they are
+    combined. Pairs compress so well that adaptive execution, which merges partitions
+    by their bytes, puts many millions into one task, whose hash tables then take
+    gigabytes; it leaves a given number alone. The price is a hot pair: one task reads
+    all its lines, in the memory of one row.
+
     A hot order is split by the adaptive skew join, but only where there is a
     shuffle, and no finer than the tasks that wrote it:
 
@@ -38,9 +44,11 @@ def interactions(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.col("l_partkey").alias("item_id"),
         F.col("l_quantity").alias("quantity"),
     )
+    joined = lines.join(bought, "order_id")
+    if parts is not None:
+        joined = joined.repartition(parts, "user_id", "item_id")
     return (
-        lines.join(bought, "order_id")
-        .groupBy("user_id", "item_id")
+        joined.groupBy("user_id", "item_id")
         .agg(
             F.count("*").alias("n"),
             F.sum("quantity").alias("qty"),

@@ -12,10 +12,20 @@ from tastemap.sources import table
 TOP_K = 20
 
 
+#: Lines that a task groups, about, where there are more of them than tasks at once.
+TASK_LINES = 500_000
+
+
+def parts(lineitem: DataFrame) -> int | None:
+    """Tasks to deal the joined lines to; none while a share for each core is small
+    enough. Counting reads the footers only."""
+    count, cores = lineitem.count(), lineitem.sparkSession.sparkContext.defaultParallelism
+    return -(-count // TASK_LINES) if count > cores * TASK_LINES else None
+
+
 def user_item_interactions(spark: SparkSession, directory: str) -> DataFrame:
-    return interactions(
-        table(spark, directory, "orders"), table(spark, directory, "lineitem")
-    )
+    lineitem = table(spark, directory, "lineitem")
+    return interactions(table(spark, directory, "orders"), lineitem, parts(lineitem))
 
 
 def top_items(spark: SparkSession, directory: str) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tastemap.functions import top_k
 from tastemap.operators import interactions, popular_items
-from tastemap.plans import QUERIES
+from tastemap.plans import QUERIES, registered
 from tastemap.session import TASK_BYTES, cluster_settings
+from tastemap.tasks import recorded
 
 from helpers import (
     as_pairs,
@@ -198,3 +199,16 @@ def test_skewed_tables_give_the_whole_ranking(spark, settings):
     expected = brute_top(brute_interactions(orders, lines), 5)
     df = popular_items(interactions(*frames(spark, orders, lines)), 5)
     assert as_top(df) == expected
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_pairs_of_a_task_are_bounded(spark, settings, monkeypatch, name):
+    """Compressed bytes do not merge the pairs of large tables into a few tasks."""
+    settings(**NO_BROADCAST)
+    expected = sorted(map(str, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(registered, "TASK_LINES", 300, raising=False)
+    rows = []
+    stages = recorded(spark, lambda: rows.extend(QUERIES[name](spark, SF).collect()))
+    assert sorted(map(str, rows)) == expected
+    dealt = [s for s in stages if s.tasks == 20]
+    assert dealt and max(s.largest_shuffle for s in dealt) < 2 * 300
